@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexivane.llm import neardup
+from lexivane.llm import mixture, multi_index, neardup, site_lines
 from lexivane.tables import table
 
 
@@ -19,5 +19,37 @@ def p1_classes(spark: SparkSession, folder: str) -> DataFrame:
     return neardup.duplicate_classes(*neardup.near_duplicates(table(spark, folder, "docs")))
 
 
+def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+    return mixture.cluster_rows(mixture.mixture_clusters(table(spark, folder, "docs")), 5)
+
+
+def p3_clusters(spark: SparkSession, folder: str) -> DataFrame:
+    return mixture.cluster_summary(mixture.mixture_clusters(table(spark, folder, "docs")))
+
+
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "docs")
+    near = [multi_index.with_enough(multi_index.most_similar(docs, "id", f, 5, least=0.82), 5).select(F.lit(f).alias("field"), "id", "near_id") for f in ("embedding", "title_embedding")]
+    return near[0].unionByName(near[1])
+
+
+def p4_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    return multi_index.most_similar(table(spark, folder, "docs"), "id", "embedding", 10, every=20)
+
+
+def p6_found(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "docs")
+    return site_lines.line_cases(docs, site_lines.repeated_lines(docs))
+
+
+def p6_lines(spark: SparkSession, folder: str) -> DataFrame:
+    return site_lines.repeated_lines(table(spark, folder, "docs"))
+
+
+def p6_clean(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "docs")
+    return site_lines.without_lines(docs, site_lines.repeated_lines(docs))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name[:1] == "p" and name[1:2].isdigit()}
