@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexivane.llm import mixture, multi_index, neardup, site_lines
+from lexivane.llm import markup, mixture, multi_index, neardup, site_lines
 from lexivane.tables import table
 
 
@@ -19,6 +19,32 @@ def p1_classes(spark: SparkSession, folder: str) -> DataFrame:
     return neardup.duplicate_classes(*neardup.near_duplicates(table(spark, folder, "docs")))
 
 
+def _texts(spark: SparkSession, folder: str) -> DataFrame:
+    """tbl, rec_id, host, text of docs.content (host: the site) and item.description (host: the channel)."""
+    docs = table(spark, folder, "docs").select(F.lit("docs").alias("tbl"), F.col("id").alias("rec_id"), site_lines.site_of(F.col("url")).alias("host"), F.col("content").alias("text"))
+    item = table(spark, folder, "item").select(F.lit("item").alias("tbl"), F.col("item_id").alias("rec_id"), F.col("channel_id").cast("string").alias("host"), F.col("description").alias("text"))
+    return docs.unionByName(item)
+
+
+def _marked(spark: SparkSession, folder: str) -> DataFrame:
+    """The same with rec_id as tbl:id."""
+    return _texts(spark, folder).select(F.concat_ws(":", "tbl", "rec_id").alias("rec_id"), F.concat_ws(":", "tbl", "host").alias("host"), "text")
+
+
+def p2_found(spark: SparkSession, folder: str) -> DataFrame:
+    found = markup.markup_records(_marked(spark, folder))
+    parts = F.split("rec_id", ":")
+    return found.select(parts[0].alias("tbl"), parts[1].cast("long").alias("rec_id"))
+
+
+def p2_templates(spark: SparkSession, folder: str) -> DataFrame:
+    return markup.template_classes(_marked(spark, folder))
+
+
+def p2_clean(spark: SparkSession, folder: str) -> DataFrame:
+    return markup.cleaned(_marked(spark, folder))
+
+
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     return mixture.cluster_rows(mixture.mixture_clusters(table(spark, folder, "docs")), 5)
 
