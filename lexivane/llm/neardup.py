@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexivane.llm.components import components
-from lexivane.llm.words import MASK, WordHash, minhashes, shingles, words
+from lexivane.llm.words import WordHash, minhashes, shingles, words
 from lexivane.session import written
 
 #: The masks of one block of four positions.
@@ -121,49 +121,47 @@ def _sketches(docs: DataFrame, least_words: int, common: np.ndarray, size: int)
                 features.append(pairs if len(pairs) else r[:1])
             starts = np.cumsum([0] + [len(f) for f in features[:-1]])
             flat = np.concatenate(features)
-            sketch = minhashes(flat, starts, size)
+            sketch = minhashes(flat, starts, size).view(np.int32)
             bits = minhashes(flat, starts, 64, seed=2) & np.uint32(1)
             sign = np.packbits(bits.astype(np.uint8), axis=1).view(np.int64).ravel()
-            yield pd.DataFrame({"id": batch["id"].to_numpy(np.int64), "sketch": [s.tobytes() for s in sketch], "sign": sign})
+            yield pd.DataFrame({"id": batch["id"].to_numpy(np.int64), "sketch": list(sketch), "sign": sign})
 
-    return docs.select("id", "title", "content").mapInPandas(run, "id long, sketch binary, sign long")
+    return docs.select("id", "title", "content").mapInPandas(run, "id long, sketch array<int>, sign long")
 
 
 def _table_keys(sketches: DataFrame, blocks: int) -> DataFrame:
-    """id, sign, key: one row for each table; the key holds the table's number and the two symbols its mask keeps."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            if not len(batch):
-                continue
-            s = np.frombuffer(b"".join(batch["sketch"]), np.uint32).reshape(len(batch), -1).astype(np.uint64)
-            keys = []
-            for block in range(blocks):
-                for i, j in MASKS:
-                    number = np.uint64((len(keys) + 1) * 0xD6E8FEB86659FD93 & MASK)
-                    x = (s[:, 4 * block + i] << np.uint64(32)) + s[:, 4 * block + j]
-                    x = (x ^ (x >> np.uint64(29))) * np.uint64(0x9FB21C651E98DF25) + number
-                    keys.append(x ^ (x >> np.uint64(32)))
-            flat = np.stack(keys, axis=1)
-            yield pd.DataFrame({"id": np.repeat(batch["id"].to_numpy(), flat.shape[1]), "sign": np.repeat(batch["sign"].to_numpy(), flat.shape[1]), "key": flat.ravel().view(np.int64)})
-
-    return sketches.mapInPandas(run, "id long, sign long, key long")
+    """id, sign, key: one row for each table; the key is made of the table's number and the two symbols its mask keeps."""
+    s = F.col("sketch")
+    masks = [(4 * block + i, 4 * block + j) for block in range(blocks) for i, j in MASKS]
+    keys = F.array(*[F.xxhash64(F.lit(n), s[i], s[j]) for n, (i, j) in enumerate(masks)])
+    return sketches.select("id", "sign", F.explode(keys).alias("key"))
 
 
 def _near_sketches(candidates: DataFrame, sketches: DataFrame, least: int) -> DataFrame:
     """The candidates whose sketches agree in at least ``least`` positions."""
-
-    @F.pandas_udf("int")
-    def agreements(a: pd.Series, b: pd.Series) -> pd.Series:
-        if not len(a):
-            return pd.Series([], dtype="int32")
-        x, y = (np.frombuffer(b"".join(c), np.uint32).reshape(len(c), -1) for c in (a, b))
-        return pd.Series((x == y).sum(1).astype("int32"))
-
     left = sketches.select(F.col("id").alias("id_a"), F.col("sketch").alias("sketch_a"))
     right = sketches.select(F.col("id").alias("id_b"), F.col("sketch").alias("sketch_b"))
     both = candidates.join(left, "id_a").join(right, "id_b")
-    return both.where(agreements("sketch_a", "sketch_b") >= least).select("id_a", "id_b")
+    agree = F.aggregate(F.zip_with("sketch_a", "sketch_b", lambda x, y: (x == y).cast("int")), F.lit(0), lambda n, x: n + x)
+    return both.where(agree >= least).select("id_a", "id_b")
+
+
+def holding(docs: DataFrame, ids: DataFrame, bits: int = 22) -> DataFrame:
+    """The rows of ``docs`` whose id may be in ``ids``: those it certainly isn't are dropped before any shuffle, by a bitmap of 2 ** ``bits`` bits."""
+    place = F.pmod(F.xxhash64("id"), F.lit(1 << bits))  # the bitmap functions count places from 1
+    marks = ids.select((place + 1).alias("p")).groupBy(F.bitmap_bucket_number("p").alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("m"))
+    found = {r["b"]: bytes(r["m"]) for r in marks.collect()}  # 2 ** bits / 8 bytes at most
+    marked = np.zeros(1 << bits, bool)
+    for b, m in found.items():
+        marked[(b - 1) * 32768 : b * 32768] = np.unpackbits(np.frombuffer(m, np.uint8), bitorder="little")
+    shared = docs.sparkSession.sparkContext.broadcast(np.packbits(marked))
+
+    @F.pandas_udf("boolean")
+    def maybe(p: pd.Series) -> pd.Series:
+        at = p.to_numpy(np.int64)
+        return pd.Series((shared.value[at >> 3] >> (7 - (at & 7)) & 1).astype(bool))
+
+    return docs.where(maybe(place))
 
 
 def _verified(candidates: DataFrame, docs: DataFrame, similarity: float) -> DataFrame:
@@ -194,7 +192,7 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.55, least_words: int
     has the pairs of different representatives that are alike. Both are written tables.
 
     Null titles and contents count as empty; rows that are too short, or whose id is null, are in neither table.
-    An id that occurs more than once is one row: its smallest text.
+    An id is taken to be one row.
     """
     docs = docs.select(F.col("id").cast("long").alias("id"), "title", "content")
     sigs = written(_classes(docs, least_words), "signatures")
@@ -204,20 +202,19 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.55, least_words: int
     several = reps.where("n > 1").select("sig", "rep_id")
     members = sigs.join(several, "sig", "left").select("id", F.coalesce("rep_id", "id").alias("rep_id")).distinct()
     members = written(members, "members")
-    copies = members.where("id != rep_id").select("id")
-    alone = docs.where(F.col("id").isNotNull()).join(copies, "id", "left_anti")
-
-    sketches = written(_sketches(alone, least_words, _common_pairs(alone, least_words, common), 4 * blocks), "sketches")
+    sketches = _sketches(docs, least_words, _common_pairs(docs, least_words, common), 4 * blocks)
+    sketches = written(sketches.join(members.where("id != rep_id").select("id"), "id", "left_anti"), "sketches")
     keys = _table_keys(sketches, blocks)
-    a = keys.select(F.col("key"), F.col("id").alias("id_a"), F.col("sign").alias("sign_a"))
-    b = keys.select(F.col("key"), F.col("id").alias("id_b"), F.col("sign").alias("sign_b"))
     # At the least similarity that can hold, o / (2 - o), 1 - (1 + J) / 2 of the sign bits differ; 2.5 deviations more are let through.
     differ = (1 - similarity / (2 - similarity)) / 2
     most = int(64 * differ + 2.5 * (64 * differ * (1 - differ)) ** 0.5)
-    near = (F.col("id_a") < F.col("id_b")) & (F.bit_count(F.col("sign_a").bitwiseXOR(F.col("sign_b"))) <= most)
-    candidates = a.join(b, "key").where(near).select("id_a", "id_b").distinct()
-    candidates = _near_sketches(candidates, sketches, max(2, blocks * 3 // 4))
-    links = written(_verified(candidates, alone, similarity), "links")
+    # Both sides are the same plan, so that one exchange serves them.
+    same = (F.col("a.key") == F.col("b.key")) & (F.col("a.id") < F.col("b.id"))
+    near = F.bit_count(F.col("a.sign").bitwiseXOR(F.col("b.sign"))) <= most
+    candidates = keys.alias("a").join(keys.alias("b"), same & near).select(F.col("a.id").alias("id_a"), F.col("b.id").alias("id_b")).distinct()
+    candidates = written(_near_sketches(candidates, sketches, max(2, blocks * 3 // 4)), "candidates")
+    ids = candidates.select(F.explode(F.array("id_a", "id_b")).alias("id"))
+    links = written(_verified(candidates, holding(docs, ids), similarity), "links")
     return members, links
 
 
