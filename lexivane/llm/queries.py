@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexivane.llm import markup, mixture, multi_index, neardup, site_lines
+from lexivane.llm import markup, mixture, multi_index, neardup, site_lines, truncation
 from lexivane.tables import table
 
 
@@ -63,6 +63,23 @@ def p4_neighbours(spark: SparkSession, folder: str) -> DataFrame:
     return multi_index.most_similar(table(spark, folder, "docs"), "id", "embedding", 10, every=20)
 
 
+def _numbered(spark: SparkSession, folder: str) -> DataFrame:
+    """rec_id (twice the id, odd for items), source, title, text of docs and item."""
+    docs = table(spark, folder, "docs").select((F.col("id") * 2).alias("rec_id"), F.concat(F.lit("site "), site_lines.site_of(F.col("url"))).alias("source"), "title", F.col("content").alias("text"))
+    item = table(spark, folder, "item").select((F.col("item_id") * 2 + 1).alias("rec_id"), F.concat(F.lit("channel "), F.col("channel_id").cast("string")).alias("source"), "title", F.col("description").alias("text"))
+    return docs.unionByName(item)
+
+
+def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    cut = truncation.truncated(_numbered(spark, folder))
+    return cut.select(F.when(F.col("rec_id") % 2 == 0, "docs").otherwise("item").alias("tbl"), F.floor(F.col("rec_id") / 2).cast("long").alias("rec_id"))
+
+
+def p5_rates(spark: SparkSession, folder: str) -> DataFrame:
+    records = _numbered(spark, folder)
+    return truncation.truncation_rates(records, truncation.truncated(records))
+
+
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "docs")
     return site_lines.line_cases(docs, site_lines.repeated_lines(docs))
