@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexivane.llm import markup, mixture, multi_index, neardup, site_lines, truncation
+from lexivane.llm import abuse, markup, mixing, mixture, multi_index, neardup, packing, site_lines, tokens, truncation
+from lexivane.session import written
 from lexivane.tables import table
 
 
@@ -94,5 +95,61 @@ def p6_clean(spark: SparkSession, folder: str) -> DataFrame:
     return site_lines.without_lines(docs, site_lines.repeated_lines(docs))
 
 
+def _packings(spark: SparkSession, folder: str) -> list[tuple[str, int, DataFrame]]:
+    sized = written(tokens.sized(table(spark, folder, "documents")), "sizes")
+    limits = table(spark, folder, "pack_limits").where("capacity_tokens > 0").orderBy("capacity_tokens", "container").collect()  # one row a kind of container
+    return [(r["container"], r["capacity_tokens"], packing.packed(sized, r["capacity_tokens"])) for r in limits]
+
+
+def p7_packed(spark: SparkSession, folder: str) -> DataFrame:
+    placed = [p.select(F.lit(name).alias("container"), "*") for name, _, p in _packings(spark, folder)]
+    out = placed[0]
+    for p in placed[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def p7_unused(spark: SparkSession, folder: str) -> DataFrame:
+    reports = [packing.packing_report(p, c).select(F.lit(name).alias("container"), "*") for name, c, p in _packings(spark, folder)]
+    out = reports[0]
+    for r in reports[1:]:
+        out = out.unionByName(r)
+    return out
+
+
+def _uses(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    targets = table(spark, folder, "mix_targets")
+    sized = written(tokens.sized(table(spark, folder, "documents"), tokens.TOKENIZER, "source"), "sizes")
+    return mixing.record_uses(sized, targets), targets
+
+
+def p8_mixture(spark: SparkSession, folder: str) -> DataFrame:
+    return mixing.mixture(_uses(spark, folder)[0])
+
+
+def p8_uses(spark: SparkSession, folder: str) -> DataFrame:
+    return _uses(spark, folder)[0]
+
+
+def p8_shares(spark: SparkSession, folder: str) -> DataFrame:
+    return mixing.shares(*_uses(spark, folder))
+
+
+def _scores(spark: SparkSession, folder: str) -> DataFrame:
+    return abuse.abuse_scores(table(spark, folder, "documents"), table(spark, folder, "review_labels"))
+
+
+def p9_found(spark: SparkSession, folder: str) -> DataFrame:
+    return _scores(spark, folder).where("abusive").select("doc_id")
+
+
+def p9_scores(spark: SparkSession, folder: str) -> DataFrame:
+    return _scores(spark, folder)
+
+
+def p9_rates(spark: SparkSession, folder: str) -> DataFrame:
+    return abuse.source_rates(table(spark, folder, "documents"), _scores(spark, folder))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name[:1] == "p" and name[1:2].isdigit()}
