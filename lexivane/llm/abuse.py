@@ -9,8 +9,8 @@ a document's is that of its worst sentence, so that one insult in a long text co
 Labels are of documents, and in an abusive one most sentences are ordinary. So the abusive model is refined in
 rounds: each keeps, of the abusive documents, the sentences that models fitted on other documents find more abusive than held-out
 ordinary ones, and fits again. A document with verdicts of both kinds counts by the majority, and not at all if they are even. The
-threshold is the one with the best F1 on held-out labels, each fold scored by models fitted without it, and not below 0, where
-both models are as likely.
+threshold is the one with the best F1 on held-out labels, each fold scored by models fitted without it, of those that reach
+``least_precision`` there, and not below 0, where both models are as likely.
 
 Bound: the models are fitted on at most ``most_labels`` labelled documents, those with the least hash of the id; every document is scored.
 """
@@ -279,7 +279,7 @@ def _worst(scores: np.ndarray, of: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
-def train(texts: dict[int, str], labels: list[tuple[int, int]], order: int = 4, rounds: int = 3, folds: int = 3, extra: float = 4.0, share: float = 0.001, least: int = 2) -> tuple[Numbers, Models, float]:
+def train(texts: dict[int, str], labels: list[tuple[int, int]], order: int = 4, rounds: int = 3, folds: int = 3, extra: float = 4.0, share: float = 0.001, least: int = 2, least_precision: float = 0.5) -> tuple[Numbers, Models, float]:
     """The models, and the threshold with the best F1 over held-out folds; if there is no abusive label, an infinite one."""
     verdict = {d: v for d, v in _verdicts(labels).items() if texts.get(d)}
     ids = sorted(verdict, key=lambda d: (xxhash.xxh3_64_intdigest(str(d)), d))
@@ -301,7 +301,9 @@ def train(texts: dict[int, str], labels: list[tuple[int, int]], order: int = 4,
     order_ = np.argsort(-worst, kind="stable")
     hits = np.cumsum(truth[order_])
     f1 = 2 * hits / (np.arange(1, len(ids) + 1) + truth.sum())
-    best = int(f1.argmax())
+    precision = hits / np.arange(1, len(ids) + 1)
+    good = precision >= least_precision
+    best = int((f1 * good).argmax()) if good.any() else int(precision.argmax())
     here = worst[order_[best]]
     after = worst[order_[best + 1]] if best + 1 < len(ids) else here - 1
     return numbers, _refined(grams, of, bad, ~bad, numbers.size, rounds, extra, share).exported(grams), max(0.0, float((here + max(after, here - 1)) / 2))
