@@ -243,12 +243,13 @@ class Models:
         return self._mean(p, grams, extra)
 
 
-def _refined(grams: Indexed, of: np.ndarray, abusive: np.ndarray, ordinary: np.ndarray, size: int, rounds: int, extra: float, share: float) -> Models:
+def _refined(grams: Indexed, of: np.ndarray, abusive: np.ndarray, ordinary: np.ndarray, size: int, rounds: int, extra: float, share: float) -> tuple[Models, bool]:
     """Models of which the abusive one holds those sentences of the abusive documents that stand out.
 
     ``abusive`` and ``ordinary`` tell the sentences of the documents of either verdict. Each document's are judged by models that
     have not seen it: an abusive expression recurs in other abusive documents, while an ordinary sentence, as all of a wrongly
     marked document's, is told from the others by nothing. Sentences of ordinary documents that stand out in the last round are left out.
+    Also tells whether any sentence stood out; too few abusive documents have none in common.
     """
     half = of % 2 == 0
     chosen, usual = abusive.copy(), ordinary.copy()
@@ -261,9 +262,9 @@ def _refined(grams: Indexed, of: np.ndarray, abusive: np.ndarray, ordinary: np.n
             new |= abusive & ~h & (x > cut)
             odd |= held & (x > cut)
         if not new.any():
-            break
+            return Models(grams, chosen, usual, size), False
         chosen, usual = new, ordinary & ~odd
-    return Models(grams, chosen, usual, size)
+    return Models(grams, chosen, usual, size), True
 
 
 def _verdicts(labels: list[tuple[int, int]]) -> dict[int, int]:
@@ -280,7 +281,7 @@ def _worst(scores: np.ndarray, of: np.ndarray, n: int) -> np.ndarray:
 
 
 def train(texts: dict[int, str], labels: list[tuple[int, int]], order: int = 4, rounds: int = 3, folds: int = 3, extra: float = 4.0, share: float = 0.001, least: int = 2, least_precision: float = 0.5) -> tuple[Numbers, Models, float]:
-    """The models, and the threshold with the best F1 over held-out folds; if there is no abusive label, an infinite one."""
+    """The models, and the threshold with the best F1 over held-out folds; if there is no abusive label, or nothing that abusive documents have in common, an infinite one."""
     verdict = {d: v for d, v in _verdicts(labels).items() if texts.get(d)}
     ids = sorted(verdict, key=lambda d: (xxhash.xxh3_64_intdigest(str(d)), d))
     docs = [sentences(texts[d]) for d in ids]
@@ -296,7 +297,7 @@ def train(texts: dict[int, str], labels: list[tuple[int, int]], order: int = 4,
     worst = np.full(len(ids), -math.inf)
     for f in range(folds):
         seen = (fold != f)[of]
-        m = _refined(grams, of, bad & seen, ~bad & seen, numbers.size, rounds, extra, share)
+        m, _ = _refined(grams, of, bad & seen, ~bad & seen, numbers.size, rounds, extra, share)
         worst = np.where(fold == f, _worst(m.inside(grams, extra), of, len(ids)), worst)
     order_ = np.argsort(-worst, kind="stable")
     hits = np.cumsum(truth[order_])
@@ -306,7 +307,9 @@ def train(texts: dict[int, str], labels: list[tuple[int, int]], order: int = 4,
     best = int((f1 * good).argmax()) if good.any() else int(precision.argmax())
     here = worst[order_[best]]
     after = worst[order_[best + 1]] if best + 1 < len(ids) else here - 1
-    return numbers, _refined(grams, of, bad, ~bad, numbers.size, rounds, extra, share).exported(grams), max(0.0, float((here + max(after, here - 1)) / 2))
+    models, told = _refined(grams, of, bad, ~bad, numbers.size, rounds, extra, share)
+    threshold = max(0.0, float((here + max(after, here - 1)) / 2)) if told else math.inf
+    return numbers, models.exported(grams), threshold
 
 
 def abuse_scores(documents: DataFrame, labels: DataFrame, most_labels: int = 20_000, extra: float = 4.0) -> DataFrame:
