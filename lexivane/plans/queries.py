@@ -326,9 +326,9 @@ def lexical_find(spark, folder):
     return found.select("word", F.round(F.col("score").cast("double"), 6).alias("score"))
 
 
-@query(f"SELECT word, round(score::DOUBLE, 6) AS score FROM ({_find_sql(chr(39) + '教师柘临浦谈农村的驿站' + chr(39), 20)})")
+@query(f"SELECT word, round(score::DOUBLE, 6) AS score FROM ({_find_sql(chr(39) + '时隔4年' + chr(39), 20)})")
 def lexical_find_chinese(spark, folder):
-    found = lexical.find(lexical.dictionary(table(spark, folder, "item"), "title"), "教师柘临浦谈农村的驿站", 20)
+    found = lexical.find(lexical.dictionary(table(spark, folder, "item"), "title"), "时隔4年", 20)
     return found.select("word", F.round(F.col("score").cast("double"), 6).alias("score"))
 
 

@@ -13,7 +13,7 @@ def _fields(*names: str) -> T.StructType:
     return T.StructType([T.StructField(n, T.StringType()) for n in names])
 
 
-ITEM = _fields("title", "link", "pubDate", "author", "description", "content", "news_id", "guid", "_corrupt_record")
+ITEM = _fields("title", "link", "pubDate", "author", "description", "content", "news_id", "guid")
 ENTRY = T.StructType(
     [
         T.StructField("title", T.StringType()),
@@ -35,8 +35,8 @@ def _filled(*columns: Column) -> Column:
 
 def read_items(spark: SparkSession, path: str) -> DataFrame:
     """The items of RSS files in a folder, as they stand: surrounding white space is kept, and the file's path. Broken items are skipped."""
-    rows = spark.read.format("xml").option("rowTag", "item").option("ignoreSurroundingSpaces", "false").option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt_record").schema(ITEM).load(path)
-    return rows.where("_corrupt_record is null").drop("_corrupt_record").withColumn("file", F.col("_metadata.file_path"))
+    rows = spark.read.format("xml").option("rowTag", "item").option("ignoreSurroundingSpaces", "false").option("mode", "DROPMALFORMED").schema(ITEM).load(path)
+    return rows.withColumn("file", F.col("_metadata.file_path"))
 
 
 def documents(items: DataFrame) -> DataFrame:

@@ -14,8 +14,8 @@ from lexivane.sources.store import migrated
 
 def feed_stream(spark: SparkSession, path: str) -> DataFrame:
     """Documents of the feed files that arrive in a folder."""
-    rows = spark.readStream.format("xml").option("rowTag", "item").option("ignoreSurroundingSpaces", "false").option("columnNameOfCorruptRecord", "_corrupt_record").schema(ITEM).load(path)
-    return documents(rows.where("_corrupt_record is null").drop("_corrupt_record").withColumn("file", F.col("_metadata.file_path")))
+    rows = spark.readStream.format("xml").option("rowTag", "item").option("ignoreSurroundingSpaces", "false").option("mode", "DROPMALFORMED").schema(ITEM).load(path)
+    return documents(rows.withColumn("file", F.col("_metadata.file_path")))
 
 
 def ingest(docs: DataFrame, encoder: Encoder, centroids: DataFrame, index_path: str, checkpoint: str) -> StreamingQuery:
