@@ -34,7 +34,7 @@ _TAG = re.compile(r"<[A-Za-z/!][^<>]{0,200}>")
 _HIDDEN = re.compile("[\u00ad\u034f\u061c\u115f\u1160\u17b4\u17b5\u180b-\u180e\u200b-\u200f\u202a-\u202e\u2060-\u206f\ufe00-\ufe0f\ufeff]")
 #: Signs put between Han characters, or between the letters of one word.
 _INSERTED = re.compile(rf"(?<=[{HAN}])[ .*·_~\-+|/\\#]{{1,2}}(?=[{HAN}])")
-_SPACED = re.compile(r"(?<![A-Za-z])(?:[A-Za-z][ .*_\-]){2,}[A-Za-z](?![A-Za-z])")
+_SPACED = re.compile(r"(?<![A-Za-z'’])(?:[A-Za-z][ .*_\-]){2,}[A-Za-z](?![A-Za-z])")
 _STARRED = re.compile(r"(?<=[A-Za-z])[*.·_\-](?=[A-Za-z])")
 #: The writer's name before a comment.
 _WRITER = re.compile(r"(?m)^[ \t]*[^\s:：]{1,20}\d{2,}[ \t]*[:：]")

@@ -97,6 +97,7 @@ def mixture(uses: DataFrame, seed: int = 17, shards: int = 64) -> DataFrame:
 
 def shares(uses: DataFrame, targets: DataFrame) -> DataFrame:
     """source, target_share, max_repeats, records, used_records, tokens, actual_share, most_uses: one row for each row of ``targets``."""
+    targets = targets.select("source", "target_share", "max_repeats")
     done = uses.groupBy("source").agg(F.count("*").alias("records"), F.sum((F.col("uses") > 0).cast("long")).alias("used_records"), F.sum(F.col("uses") * F.col("n_tokens")).alias("tokens"), F.max("uses").alias("most_uses"))
     total = done.agg(F.sum("tokens").alias("total"))
     out = targets.join(done, "source", "left").join(F.broadcast(total))  # one row

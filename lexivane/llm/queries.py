@@ -56,7 +56,7 @@ def p3_clusters(spark: SparkSession, folder: str) -> DataFrame:
 
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "docs")
-    near = [multi_index.with_enough(multi_index.most_similar(docs, "id", f, 5, least=0.82), 5).select(F.lit(f).alias("field"), "id", "near_id") for f in ("embedding", "title_embedding")]
+    near = [multi_index.with_enough(multi_index.most_similar(docs, "id", f, 5, least=0.82, nearest=8, most_cells=16), 5).select(F.lit(f).alias("field"), "id", "near_id") for f in ("embedding", "title_embedding")]
     return near[0].unionByName(near[1])
 
 
@@ -153,3 +153,7 @@ def p9_rates(spark: SparkSession, folder: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name[:1] == "p" and name[1:2].isdigit()}
+
+
+def oracle_sql() -> dict[str, str]:
+    return {}

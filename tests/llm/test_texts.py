@@ -1,0 +1,188 @@
+import random
+
+import pytest
+
+from lexivane.llm import abuse, markup, mixing, packing, tokens, truncation
+
+MARKED = ["<p>x</p>", "a<br/>b", "x &amp; y", "&#39;s", "a &nb", "cut <a hre", "# Head\ntext", "a **b c** d", "~~x~~", "```\ncode\n```", "![a](img/b.png)", "[a](https://b.example)", "| a | b |\n|---|---|\n| 1 | 2 |", "'''bold'''", "[[page|text]]", "{{cite|x}}", "{| class=x\n|-\n| a || b\n|}", "== Head ==", "\\section{x} y", "$x_{1}^2$", "$$\\frac{a}{2}$$", "\\(a\\)", "<!-- c -->", "\\begin{equation}x\\end{equation}", "经__济学__者"]
+PLAIN = ["p < 0.05 and x > y", "R&D unit", "12 * 25 panels", "C# and #tag", "$5 or $7", "user_id is [sic]", "24^2 tests", "~44 at 3-1", "a [...]", "[原文如此]", "AT&T", "a = b", "", "it's 'fine'", "{x}", "50% | 20%", "1 < 2 > 0"]
+
+
+@pytest.mark.parametrize("text", MARKED)
+def test_marked(text):
+    assert any(sure for _, sure, _ in markup.tokens(text))
+
+
+@pytest.mark.parametrize("text", PLAIN)
+def test_plain(text):
+    assert not any(sure for _, sure, _ in markup.tokens(text)) and markup.clean_text(text) == text
+
+
+@pytest.mark.parametrize(
+    ("given", "wanted"),
+    [("<h2>T</h2><ul><li>a</li><li>b</li></ul>", "## T\n\n- a\n- b"), ("<p>a &amp; <b>b</b></p>", "a & b"), ("x\n```py\nif a < b:\n    c\n```\ny", "x\n\n    if a < b:\n        c\n\ny"), ("a $x_{1}$ b", "a $x_{1}$ b"), ("\\(E = m\\)", "$E = m$"), ("== H ==\n'''b''' [[p|t]] {{c}}", "## H\nb t"), ("[t](https://a.example/x) **b**", "t b"), ("&lt;b&gt;x&lt;/b&gt;", "x"), ("a<script>var x = '<p>';</script>b", "ab"), ("\\textbf{x} \\cite{y}z", "x z"), (None, None), ("plain", "plain")],
+)
+def test_clean_text(given, wanted):
+    assert markup.clean_text(given) == wanted
+
+
+def test_long_text_is_cleaned_in_time():
+    assert len(markup.clean_text("<p>" + "word [ ( * _ ' = $ { " * 20_000)) > 100_000
+
+
+def test_markup_records(spark):
+    rows = [(str(k), "h", t) for k, t in enumerate(MARKED + PLAIN)] + [("n1", "h", None), ("n2", None, "<p>x</p>"), ("n3", None, "")]
+    # A host whose pages carry a heading and a list together; on one, the heading is not there.
+    rows += [(f"t{k}", "site", f"# Head\n* one {k}\n* two") for k in range(4)] + [("t9", "site", "* one\n* two"), ("t8", "elsewhere", "* one\n* two")]
+    df = spark.createDataFrame([(*r, "s", 1) for r in rows], "rec_id string, host string, text string, sure string, token int")
+    got = [r["rec_id"] for r in markup.markup_records(df).collect()]
+    assert len(got) == len(set(got))
+    assert set(got) == {str(k) for k in range(len(MARKED))} | {"n2", "t0", "t1", "t2", "t3"} | ({"t9"} & set(got))
+    texts = {r["rec_id"]: r["text"] for r in markup.cleaned(df).collect()}
+    assert texts["n1"] is None and texts["n2"] == "x" and len(texts) == len(rows)
+    assert markup.markup_records(df.where("rec_id = ''")).count() == 0
+
+
+def test_template_classes(spark):
+    rows = [(str(k), "h", "<div>" * (k + 1) + "x" + "</div>" * (k + 1)) for k in range(4)] + [("9", "h", "<b>y</b>")]
+    classes = markup.template_classes(spark.createDataFrame(rows, "rec_id string, host string, text string")).collect()
+    assert [(r["tokens"], r["pages"]) for r in classes] == [(["<div>", "</div>"], 4)]
+
+
+WHOLE = "The mayor opened the library on Monday. Officials in the town praised the plan. Visitors came from afar to see it."
+
+
+def cut_records():
+    rng, rows = random.Random(1), []
+    names = ["river", "bridge", "market", "school", "harbour", "garden", "castle", "forest"]
+    for k in range(80):
+        s = f"The {rng.choice(names)} opened near the {rng.choice(names)} on day {k}. Officials in the {rng.choice(names)} praised the {rng.choice(names)} loudly. Visitors came from the {rng.choice(names)} to see the {rng.choice(names)}."
+        rows.append((k, "s", f"Title {k}", s))
+    rows += [(100 + k, "s", f"T {k}", rows[k][3][:-18]) for k in range(5)]
+    rows += [(200, "t", None, rows[9][3][:90] + "…"), (201, "t", "Some headline here", "Some headline here"), (202, "t", "", WHOLE + "\nPhoto: archive"), (203, "t", "x", None), (204, "t", "x", ""), (205, "t", "x", "  \n"), (206, None, "x", WHOLE), (207, "t", "x", rows[11][3][:-30] + "\nPhoto: archive")]
+    return rows + [(300 + k, "t", "x", f"{rows[k][3]}\nPhoto: studio") for k in range(20)]
+
+
+def test_truncated(spark):
+    rows = cut_records()
+    df = spark.createDataFrame([(*r, "a", 1.0) for r in rows], "rec_id long, source string, title string, text string, segment string, score double")
+    cut = {r["rec_id"]: r for r in truncation.truncated(df).collect()}
+    assert set(cut) == {100, 101, 102, 103, 104, 200, 207}
+    assert all(cut[k]["evidence"] == "copy" for k in range(100, 105))
+    rates = {r["source"]: (r["records"], r["cut"]) for r in truncation.truncation_rates(df, truncation.truncated(df)).collect()}
+    assert rates["s"] == (85, 5) and rates[None] == (1, 0)
+    assert truncation.truncated(df.where("rec_id < 0")).count() == 0
+
+
+@pytest.mark.parametrize(("text", "copy", "wanted"), [(WHOLE[:60], WHOLE, 1), (WHOLE[: WHOLE.index(". Off")], WHOLE, -1), (WHOLE, WHOLE, 0), (WHOLE[:58], WHOLE, 1), ("quite other words than those of the copy", WHOLE, 0), ("", WHOLE, 0)])
+def test_ends_early(text, copy, wanted):
+    assert truncation.ends_early(text, copy) == wanted
+
+
+def test_tokens(spark):
+    import os
+
+    if not os.path.exists(tokens.TOKENIZER):
+        pytest.skip("no vocabulary file")
+    text = "Hello wörld, 中文 text. " * 20
+    e = tokens.encoding(tokens.TOKENIZER)
+    assert e.decode(e.encode_ordinary(text)) == text and tokens.count_tokens(text) == len(e.encode_ordinary(text)) and tokens.count_tokens(None) == 0
+    docs = spark.createDataFrame([(1, "a b"), (2, None), (3, ""), (None, "x"), (4, "a" * 300_000)], "doc_id long, text string")
+    got = {r["doc_id"]: r["n_tokens"] for r in tokens.sized(docs).collect()}
+    assert set(got) == {1, 2, 3, 4} and got[2] == got[3] == 0 and got[4] > 1000
+
+
+def test_bounds_are_never_above_a_packing():
+    rng = random.Random(7)
+    import numpy as np
+
+    for _ in range(200):
+        sizes = np.array([rng.randint(1, 100) for _ in range(rng.randint(1, 60))])
+        bins = packing.best_fit_decreasing(sizes, 100)
+        filled = np.bincount(bins, weights=sizes)
+        assert filled.max() <= 100 and packing.least_bins(sizes, 100) <= len(filled) and len(filled) <= 1.25 * packing.least_bins(sizes, 100) + 1
+    assert packing.least_bins(np.array([51] * 9), 100) == 9 and packing.least_bins(np.array([], int), 100) == 0
+
+
+def test_packed(spark):
+    rng = random.Random(8)
+    rows = [(k, rng.randint(1, 60)) for k in range(500)] + [(1000, 0), (1001, 250), (1002, 200), (1003, None)]
+    sized = spark.createDataFrame([(*r, 5, 6) for r in rows], "doc_id long, n_tokens long, bin int, piece int")
+    placed = packing.packed(sized, 100, items=60).collect()
+    total, seen = {}, {}
+    for r in placed:
+        total[r["bin"]] = total.get(r["bin"], 0) + r["n_tokens"]
+        seen.setdefault(r["doc_id"], []).append(r["n_tokens"])
+    assert max(total.values()) <= 100 and all(r["unused"] == 100 - total[r["bin"]] for r in placed)
+    assert {k: sum(v) for k, v in seen.items()} == {k: n for k, n in rows if n} and sorted(seen[1001]) == [50, 100, 100] and seen[1002] == [100, 100]
+    assert all(len(v) == 1 for k, v in seen.items() if k < 1000)
+    report = packing.packing_report(packing.packed(sized, 100), 100).first()
+    assert report["bins"] <= 1.02 * report["least_bins"] + 1 and report["tokens"] == sum(total.values())
+    assert packing.packed(sized.where("doc_id < 0"), 100).count() == 0
+    with pytest.raises(ValueError):
+        packing.packed(sized, 0)
+
+
+def test_poisson():
+    for rate, cap in ((0.3, 1), (1.0, 3), (2.5, 4), (0.01, 8)):
+        assert mixing.capped_mean(mixing.mean_for(rate, cap), cap) == pytest.approx(rate, abs=1e-6)
+    assert mixing.mean_for(3.0, 3) == float("inf") and mixing.mean_for(0.0, 3) == 0.0
+
+
+def test_mixture(spark):
+    rows = [(k, "big", 10) for k in range(4000)] + [(10_000 + k, "small", 10) for k in range(400)] + [(20_000 + k, "tiny", 10) for k in range(10)] + [(30_000, "other", 10), (30_001, None, 10), (30_002, "big", 0)]
+    sized = spark.createDataFrame(rows, "doc_id long, source string, n_tokens long")
+    targets = spark.createDataFrame([("big", 0.6, 1, 0), ("small", 0.2, 4, 0), ("tiny", 0.1, 3, 0), ("absent", 0.1, 2, 0), (None, 0.1, 1, 0)], "source string, target_share double, max_repeats int, tokens int")
+    uses = mixing.record_uses(sized, targets)
+    got = {r["source"]: r for r in mixing.shares(uses, targets).collect()}
+    assert got["tiny"]["tokens"] == 300 and got["tiny"]["most_uses"] == 3 and got["absent"]["tokens"] == 0
+    assert got["big"]["tokens"] == pytest.approx(26460, rel=0.05) and got["small"]["tokens"] == pytest.approx(8820, rel=0.1) and got["big"]["most_uses"] == 1
+    assert sum(r["actual_share"] for r in got.values()) == pytest.approx(1)
+    again = {r["doc_id"]: r["uses"] for r in mixing.record_uses(sized.repartition(7), targets).collect()}
+    assert again == {r["doc_id"]: r["uses"] for r in uses.collect()} and not set(again) & {30_000, 30_001, 30_002}
+    mixed = mixing.mixture(uses)
+    assert mixed.count() == sum(again.values()) and mixed.select("doc_id", "copy").distinct().count() == mixed.count()
+    assert mixing.record_uses(sized, targets.where("source = 'none'")).count() == 0
+
+
+def test_sentences():
+    flat = [[abuse.normal(w, k == 0) for k, w in enumerate(s)] for s in abuse.sentences("You 1d10t! See Bob's l.o.s.e.r 12 times.\n蠢*货，KILL THEM ALL NOW.\nreader123: you stuuupid")]
+    assert flat[0] == ["you", "idiot"] and "loser" in flat[1] and abuse.NUMBER in flat[1]
+    assert flat[2][:2] == ["蠢", "货"] and flat[-1] == ["you", "stupid"] and abuse.sentences(None) == []
+
+
+def comments(n, seed):
+    rng = random.Random(seed)
+    good = ["the {} opened near the {} today", "thanks for the piece on the {} and the {}", "the {} plan is too slow for the {}", "critics called the {} a waste of the {}"]
+    bad = ["you are a filthy {} and your {} stinks", "only a brainless {} would say that about the {}", "burn down the {} of these vermin and their {}"]
+    things = ["bridge", "school", "market", "harbour", "garden", "library", "museum", "station"]
+    out = []
+    for k in range(n):
+        s = [rng.choice(good).format(rng.choice(things), rng.choice(things)) for _ in range(4)]
+        is_bad = k % 6 == 0
+        if is_bad:
+            s[rng.randrange(4)] = rng.choice(bad).format(rng.choice(things), rng.choice(things))
+        out.append((k, ". ".join(s) + ".", "forum" if k % 2 else None, int(is_bad)))
+    return out
+
+
+def test_abuse_on_held_out_documents(spark):
+    rows = comments(900, 3)
+    docs = spark.createDataFrame([(a, b, c, 0.5) for a, b, c, _ in rows] + [(5000, None, "forum", 0.0), (5001, "", None, 0.0), (5002, "…", "forum", 0.0), (5003, "word " * 60_000, "forum", 0.0)], "doc_id long, text string, source string, score double")
+    rng = random.Random(4)
+    given = [(k, y if rng.random() > 0.05 else 1 - y) for k, _, _, y in rows if k < 500] + [(3, None), (None, 1), (7, 1), (7, 0), (9999, 1)]
+    labels = spark.createDataFrame(given, "doc_id long, abusive int")
+    scores = {r["doc_id"]: (r["score"], r["abusive"]) for r in abuse.abuse_scores(docs, labels).collect()}
+    held = [(y, scores[k][1]) for k, _, _, y in rows if k >= 500]
+    hits = sum(1 for y, f in held if y and f)
+    assert hits >= 0.9 * sum(y for y, _ in held) and hits >= 0.9 * sum(f for _, f in held)
+    assert scores[5000] == scores[5001] == scores[5002] == (None, False) and scores[5003][0] is not None and len(scores) == 904
+    rates = {r["source"]: r["documents"] for r in abuse.source_rates(docs, abuse.abuse_scores(docs, labels)).collect()}
+    assert rates == {"forum": 453, None: 451}
+
+
+def test_abuse_without_labels_or_documents(spark):
+    docs = spark.createDataFrame([(1, "fine words here")], "doc_id long, text string")
+    none = spark.createDataFrame([], "doc_id long, abusive int")
+    assert [tuple(r)[2] for r in abuse.abuse_scores(docs, none).collect()] == [False]
+    assert abuse.abuse_scores(docs.where("doc_id < 0"), none).count() == 0
