@@ -79,30 +79,83 @@ def inverted_lists(assignment: DataFrame, key: str = "id") -> DataFrame:
     return assignment.groupBy("cluster_id").agg(F.sort_array(F.collect_list(key)).alias("ids"))
 
 
-def trained(vectors: DataFrame, key: str = "id", vector: str = "embedding", k: int | None = None, rounds: int = 50, seed: int = 42) -> tuple[DataFrame, DataFrame]:
+def _first_centroids(x: np.ndarray, k: int, seed: int) -> np.ndarray:
+    """k-means++: each next centroid is a row, drawn by its squared distance from those chosen; rows that repeat a centroid only when no others are left."""
+    rng = np.random.default_rng(seed)
+    chosen = [int(rng.integers(len(x)))]
+    d = ((x - x[chosen[0]]) ** 2).sum(1)
+    while len(chosen) < k:
+        total = d.sum()
+        chosen.append(int(np.searchsorted(np.cumsum(d), rng.random() * total)) if total > 0 else int(rng.integers(len(x))))
+        chosen[-1] = min(chosen[-1], len(x) - 1)
+        d = np.minimum(d, ((x - x[chosen[-1]]) ** 2).sum(1))
+    return x[chosen]
+
+
+def _round(vectors: DataFrame, matrix: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sums and numbers of the vectors nearest to each centroid; each partition sends one row for each of its clusters."""
+    shared = vectors.sparkSession.sparkContext.broadcast(matrix)
+    k, dim = matrix.shape
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        c = shared.value
+        half = (c * c).sum(1) / 2
+        sums, n = np.zeros((k, dim)), np.zeros(k, np.int64)
+        for batch in batches:
+            for start in range(0, len(batch), 1000):
+                x = np.stack(batch["v"].iloc[start : start + 1000].to_list()).astype(np.float64)
+                near = (half - x @ c.T).argmin(1)
+                order = np.argsort(near, kind="stable")
+                met, first, count = np.unique(near[order], return_index=True, return_counts=True)
+                sums[met] += np.add.reduceat(x[order], first)
+                n[met] += count
+        met = np.flatnonzero(n)
+        yield pd.DataFrame({"c": met, "n": n[met], "s": [r.tobytes() for r in sums[met]]})
+
+    def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        got: dict[int, list] = {}
+        for batch in batches:
+            for c, n, s in zip(batch["c"], batch["n"], batch["s"], strict=True):
+                own = got.setdefault(c, [0, np.zeros(dim)])
+                own[0] += n
+                own[1] += np.frombuffer(s)
+        yield pd.DataFrame({"c": list(got), "n": [n for n, _ in got.values()], "s": [s.tobytes() for _, s in got.values()]})
+
+    schema = "c long, n long, s binary"
+    rows = vectors.mapInPandas(run, schema).repartition("c").sortWithinPartitions("c").mapInPandas(add, schema).toPandas()
+    sums, n = np.zeros((k, dim)), np.zeros(k, np.int64)
+    if len(rows):
+        sums[rows["c"]], n[rows["c"]] = np.frombuffer(b"".join(rows["s"])).reshape(-1, dim), rows["n"]
+    return sums, n
+
+
+def trained(vectors: DataFrame, key: str = "id", vector: str = "embedding", k: int | None = None, rounds: int = 50, seed: int = 42, sample_rows: int = 20_000) -> tuple[DataFrame, DataFrame]:
     """centroids (cluster_id, centroid) and assignment (key, cluster_id, distance), both written tables; every vector has the nearest centroid.
 
-    Initial centroids by k-means||, then rounds of assignment and means inside the executors, until no assignment changes.
+    Initial centroids by k-means++ on at most ``sample_rows`` rows (or four for each centroid, if that is more), then rounds of assignment and means over all rows
+    until the centroids stay. A cluster without rows takes the next one's centroid, moved a little. Null vectors, vectors that are no numbers, and
+    those of another length than the longest take no part. The driver holds the centroids, of which there are 4 sqrt(rows).
     """
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.functions import array_to_vector
-
-    dim = vectors.where(F.col(vector).isNotNull()).agg(F.max(F.size(vector))).first()[0] or 0
-    sound = vectors.where((F.size(vector) == dim) & F.forall(vector, lambda x: ~F.isnan(x))).select(F.col(key), F.col(vector))
+    spark = vectors.sparkSession
+    usable = vectors.where(F.col(vector).isNotNull() & F.col(key).isNotNull()).select(F.col(key).cast("long").alias(key), F.col(vector).alias("v"))
+    dim = usable.agg(F.max(F.size("v"))).first()[0] or 0
+    sound = written(usable.where((F.size("v") == dim) & F.forall("v", lambda x: ~F.isnan(x) & (F.abs(x) < float("inf")))), "vectors")
     n = sound.count()
     if not n or not dim:
-        empty = vectors.sparkSession
-        return empty.createDataFrame([], "cluster_id int, centroid array<double>"), empty.createDataFrame([], f"{key} long, cluster_id int, distance double")
+        return spark.createDataFrame([], "cluster_id int, centroid array<double>"), spark.createDataFrame([], f"{key} long, cluster_id int, distance double")
     k = min(k or choose_k(n), n)
-    if k == 1:
-        only = sound.select(key, F.lit(0).cast("int").alias("cluster_id"))
-        centroids = means(sound, only, key, vector).select(F.col("cluster_id").cast("int"), "centroid")
-    else:
-        model = KMeans(k=k, maxIter=rounds, tol=0.0, seed=seed, featuresCol="f", initMode="k-means||").fit(sound.select(array_to_vector(F.col(vector).cast("array<double>")).alias("f")))
-        rows = [(i, [float(x) for x in c]) for i, c in enumerate(model.clusterCenters())]
-        centroids = vectors.sparkSession.createDataFrame(rows, "cluster_id int, centroid array<double>")
-    centroids = written(centroids, "centroids")
-    return centroids, written(assigned(sound, centroids, key, vector), "assignment")
+    some = sound.orderBy(F.xxhash64(key, F.lit(seed)), key).limit(max(sample_rows, 4 * k)).select("v").toPandas()
+    c = _first_centroids(np.stack(some["v"].to_list()).astype(np.float64), k, seed)
+    noise = np.random.default_rng(seed)
+    for _ in range(rounds):
+        sums, count = _round(sound, c)
+        new = np.where(count[:, None] > 0, sums / np.maximum(count, 1)[:, None], np.roll(c, -1, 0) + noise.uniform(-0.005, 0.005, c.shape))
+        moved = np.abs(new - c)[count > 0].max()
+        c = new
+        if moved < 1e-9:
+            break
+    centroids = written(spark.createDataFrame([(i, [float(x) for x in r]) for i, r in enumerate(c)], "cluster_id int, centroid array<double>"), "centroids")
+    return centroids, written(assigned(sound, centroids, key, "v"), "assignment")
 
 
 def to_file(centroids: list[list[float]], assignments: list[int]) -> bytes:

@@ -17,7 +17,7 @@ from lexivane.operators.segment.cutting import Segmenter
 from lexivane.operators.segment.lexicon import load_lexicon
 from lexivane.operators.wordpiece import WordPiece, token_ids
 from lexivane.sources import feeds, store
-from lexivane.tables import table
+from lexivane.tables import spread, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -135,7 +135,7 @@ def centroids_by_label(spark, folder):
 
 @query()
 def kmeans_train(spark, folder):
-    centroids, assignment = ivf.trained(table(spark, folder, "docs"))
+    centroids, assignment = ivf.trained(spread(table(spark, folder, "docs").select("id", "embedding")))
     return assignment.groupBy("cluster_id").agg(F.count("*").alias("n"), F.round(F.avg("distance"), 6).alias("distance")).join(centroids.select("cluster_id"), "cluster_id", "right").na.fill(0)
 
 
@@ -356,7 +356,7 @@ _TOKENS = "SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z]+|[\\x{4E
 
 def _words(spark, folder):
     tokens = F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+|[\\x{4E00}-\\x{9FFF}]{2}"), F.lit(0))
-    return table(spark, folder, "documents").select("doc_id", F.posexplode(tokens).alias("offset", "word"))
+    return spread(table(spark, folder, "documents").select("doc_id", "text")).select("doc_id", F.posexplode(tokens).alias("offset", "word"))
 
 
 @query(f"""WITH t AS ({_TOKENS}), n AS (SELECT count(*) AS n FROM documents), d AS (SELECT word, ln((SELECT n FROM n)::DOUBLE / count(DISTINCT doc_id)) AS idf FROM t GROUP BY word),
@@ -382,7 +382,7 @@ def _segmenter(spark, folder) -> Segmenter:
 
 
 def _segment(spark, folder, kind):
-    docs = table(spark, folder, "docs")
+    docs = spread(table(spark, folder, "docs").select("id", "title"))
     out = keywords.segmented(docs, _segmenter(spark, folder), kind, "id", "title")
     return out.select("id", F.array_join("words", "|").alias("words"))
 
@@ -404,14 +404,14 @@ def segment_query(spark, folder):
 
 @query()
 def segment_tags(spark, folder):
-    docs = table(spark, folder, "docs")
+    docs = spread(table(spark, folder, "docs").select("id", "title"))
     return keywords.located(docs, _segmenter(spark, folder), "id", "title")
 
 
 @query()
 def textrank(spark, folder):
     tokens = F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+|[\\x{4E00}-\\x{9FFF}]{2}"), F.lit(0))
-    words = table(spark, folder, "documents").select("doc_id", tokens.alias("words"))
+    words = spread(table(spark, folder, "documents").select("doc_id", "text")).select("doc_id", tokens.alias("words"))
     return keywords.text_rank(words, top=5, key="doc_id").select("doc_id", "word", F.round("weight", 6).alias("weight"))
 
 
