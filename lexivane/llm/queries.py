@@ -9,7 +9,12 @@ from pyspark.sql import functions as F
 
 from lexivane.llm import abuse, markup, mixing, mixture, multi_index, neardup, packing, site_lines, tokens, truncation
 from lexivane.session import written
-from lexivane.tables import table
+from lexivane.tables import spread
+from lexivane.tables import table as read
+
+
+def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    return spread(read(spark, folder, name)) if name in ("docs", "item", "documents") else read(spark, folder, name)
 
 
 def p1_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -155,5 +160,30 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name[:1] == "p" and name[1:2].isdigit()}
 
 
+
+_UNIT = "(SELECT id, list_transform({v}, lambda x: x::DOUBLE / n) AS v FROM (SELECT id, {v}, sqrt(list_sum(list_transform({v}, lambda x: x::DOUBLE * x::DOUBLE))) AS n FROM docs WHERE len({v}) = 64 AND len(list_filter({v}, lambda x: NOT isfinite(x))) = 0) WHERE n > 0)"
+_RUNS = r"regexp_extract_all(regexp_replace(lower({t}), '(\p{{Han}})', ' \1 ', 'g'), '[\p{{L}}\p{{N}}]+')"
+_PAIRS = f"""SELECT id, w[i] || ' ' || w[i + 1] AS pair, count(*) AS n FROM (SELECT id, w, unnest(range(1, len(w))) AS i FROM (
+SELECT id, {_RUNS.format(t="coalesce(title, '') || chr(10) || content")} AS w FROM docs WHERE len({_RUNS.format(t="content")}) >= 20)) GROUP BY ALL"""
+_SITE = "regexp_replace(lower(regexp_extract(url, '^[a-zA-Z]+://(?:[^/?#@]*@)?([^/?#:@]+)', 1)), '^(?:www\\.|m\\.)', '')"
+_LINES = f"""l AS (SELECT id, site, i - 1 AS line_no, c[i] AS line, lower(regexp_replace(c[i], '[\\s0-9\\x{{00A0}}\\x{{3000}}]+', '', 'g')) AS k FROM (
+SELECT id, site, c, unnest(range(1, len(c) + 1)) AS i FROM (SELECT id, {_SITE} AS site, string_split(content, chr(10)) AS c FROM docs WHERE url <> ''))),
+s AS (SELECT {_SITE} AS site, count(*) AS n FROM docs WHERE url <> '' GROUP BY 1), o AS (SELECT site, k, count(DISTINCT id) AS rows FROM l WHERE length(k) >= 6 GROUP BY site, k),
+cases AS (SELECT l.id, l.line_no FROM l JOIN o USING (site, k) JOIN s USING (site) WHERE o.rows >= 5 AND o.rows >= 0.05 * s.n)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """Only where SQL can express the result over whole tables in time."""
+    near = "SELECT '{v}' AS field, a.id, b.id AS near_id, round(list_inner_product(a.v, b.v), 6) AS c FROM {u} a JOIN {u} b ON a.id <> b.id AND list_inner_product(a.v, b.v) >= 0.82"
+    both = " UNION ALL ".join(near.format(v=v, u=_UNIT.format(v=v)) for v in ("embedding", "title_embedding"))
+    unit = _UNIT.format(v="embedding")
+    return {
+        "p1_found": f"""WITH p AS ({_PAIRS}), t AS (SELECT id, sum(n) AS t FROM p GROUP BY id), o AS (SELECT a.id AS id_a, b.id AS id_b, sum(least(a.n, b.n)) AS o FROM p a JOIN p b ON a.pair = b.pair AND a.id < b.id GROUP BY ALL)
+SELECT id_a, id_b FROM o JOIN t x ON x.id = id_a JOIN t y ON y.id = id_b WHERE o >= 0.55 * greatest(x.t, y.t)""",
+        "p3_found": f"SELECT a.id, min(b.id) AS rep_id FROM {unit} a JOIN {unit} b ON list_inner_product(a.v, b.v) >= 0.82 GROUP BY a.id HAVING count(*) >= 5",
+        "p4_found": f"SELECT field, id, near_id FROM (SELECT *, row_number() OVER (PARTITION BY field, id ORDER BY c DESC, near_id) AS r, count(*) OVER (PARTITION BY field, id) AS n FROM ({both})) WHERE r <= 5 AND n >= 5",
+        "p6_found": f"WITH {_LINES} SELECT id, line_no FROM cases",
+        "p6_clean": f"""WITH {_LINES}, g AS (SELECT id, list(line_no) AS gone FROM cases GROUP BY id)
+SELECT id, CASE WHEN gone IS NULL THEN content ELSE (SELECT array_to_string(list(c[i] ORDER BY i), chr(10)) FROM (SELECT unnest(range(1, len(c) + 1)) AS i) WHERE NOT list_contains(gone, i - 1)) END AS content, coalesce(len(gone), 0) AS removed
+FROM (SELECT d.id, d.content, string_split(d.content, chr(10)) AS c, g.gone FROM docs d LEFT JOIN g USING (id))""",
+    }
