@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexivane.functions.vectors import squared_distance
+from lexivane.sampling import least_hashed
 from lexivane.session import written
 
 
@@ -144,7 +145,7 @@ def trained(vectors: DataFrame, key: str = "id", vector: str = "embedding", k: i
     if not n or not dim:
         return spark.createDataFrame([], "cluster_id int, centroid array<double>"), spark.createDataFrame([], f"{key} long, cluster_id int, distance double")
     k = min(k or choose_k(n), n)
-    some = sound.orderBy(F.xxhash64(key, F.lit(seed)), key).limit(max(sample_rows, 4 * k)).select("v").toPandas()
+    some = least_hashed(sound, key, max(sample_rows, 4 * k), seed).select("v").toPandas()
     c = _first_centroids(np.stack(some["v"].to_list()).astype(np.float64), k, seed)
     noise = np.random.default_rng(seed)
     for _ in range(rounds):
