@@ -53,9 +53,11 @@ def assigned(vectors: DataFrame, centroids: DataFrame, key: str = "id", vector:
     return out.where("cluster_id >= 0").withColumnRenamed("key", key)
 
 
-def assigned_by_join(vectors: DataFrame, centroids: DataFrame, key: str = "id", vector: str = "embedding") -> DataFrame:
-    """The same as a plan of built-in operators alone; for a few centroids."""
-    pairs = vectors.where(F.col(vector).isNotNull()).select(key, F.col(vector).alias("v")).crossJoin(F.broadcast(centroids))  # at most 4 sqrt(rows) centroids
+def assigned_by_join(vectors: DataFrame, centroids: DataFrame, key: str = "id", vector: str = "embedding", most: int = 1000) -> DataFrame:
+    """The same as a plan of built-in operators alone; for a few centroids. Of more than ``most`` it is ``assigned`` that is run."""
+    if centroids.limit(most + 1).count() > most:
+        return assigned(vectors, centroids, key, vector)
+    pairs = vectors.where(F.col(vector).isNotNull()).select(key, F.col(vector).alias("v")).crossJoin(F.broadcast(centroids))  # counted above
     d = pairs.select(key, "cluster_id", F.round(squared_distance(F.col("v"), F.col("centroid")), 9).alias("distance"))
     return d.groupBy(key).agg(F.min(F.struct("distance", "cluster_id")).alias("m")).select(key, "m.cluster_id", "m.distance")
 

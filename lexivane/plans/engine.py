@@ -98,6 +98,14 @@ class Engine:
             return 200, dump(self.suggest(query))
         return 200, dump({"routes": ["/search?q=", "/semantic?q=", "/suggest?q="]})
 
+    def size(self) -> int:
+        return self.docs.count() if self.ready else 0
+
+    def delete_all(self, index_path: str) -> None:
+        """Leaves an empty index, which answers with empty results."""
+        store.delete_all(self.spark, f"{index_path}/docs")
+        self.open(index_path)
+
     def clear(self) -> None:
         self._found.clear()
         self._suggested.clear()

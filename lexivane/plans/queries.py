@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexivane.functions import strings as T
 from lexivane.functions import text as X
 from lexivane.functions import vectors as V
 from lexivane.operators import encoders, ivf, lexical, suggest
@@ -288,6 +289,20 @@ def http_queries(spark, folder):
     return table(spark, folder, "docs").select("id", X.query_text(target).alias("text"))
 
 
+@query("""SELECT channel_id, upper(title) AS upper, lower(title) AS lower, string_split(link, '/')[3] AS host, starts_with(link, 'https') AS secure, rtrim(link, '/') || '/feed.xml' AS path,
+octet_length(encode(title)) AS bytes FROM channel""")
+def string_helpers(spark, folder):
+    c = table(spark, folder, "channel")
+    host = F.get(T.split_at(F.col("link"), "/"), F.lit(2))
+    return c.select("channel_id", F.upper("title").alias("upper"), F.lower("title").alias("lower"), host.alias("host"), T.starts(F.col("link"), "https").alias("secure"), T.path_joined(F.col("link"), F.lit("feed.xml")).alias("path"), F.octet_length(T.encoded(F.col("title"), "UTF-8")).alias("bytes"))
+
+
+@query()
+def transcoded(spark, folder):
+    both = T.decoded(T.encoded(F.col("title"), "gb18030"), "gb18030")
+    return table(spark, folder, "channel").select("channel_id", (both == F.col("title")).alias("same"))
+
+
 # --- words and suggestions ---------------------------------------------------------------------------------------------------
 
 _TITLES = f"""SELECT id, title, similarity FROM (SELECT id, title, coalesce(round({DOT.format(v="title_embedding")}, 6), 0) AS similarity FROM docs, {Q}

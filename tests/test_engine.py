@@ -37,6 +37,9 @@ def test_engine(spark, tmp_path):
     assert "routes" in json.loads(engine.answer("/search")[1])
     again = Engine(spark, HashingEncoder(), words).open(f"{tmp_path}/index")
     assert [r["docId"] for r in again.search("solar panels make energy", 2)] == [r["docId"] for r in found]
+    assert again.size() == 4
+    again.delete_all(f"{tmp_path}/index")
+    assert again.size() == 0 and again.search("solar panels make energy", 2) == []
 
 
 def test_stream(spark, tmp_path):
