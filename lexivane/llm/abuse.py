@@ -28,7 +28,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lexivane.llm.neardup import holding
 from lexivane.llm.words import HAN, mix
+from lexivane.sampling import least_hashed
+from lexivane.session import written
 
 _TAG = re.compile(r"<[A-Za-z/!][^<>]{0,200}>")
 _HIDDEN = re.compile("[\u00ad\u034f\u061c\u115f\u1160\u17b4\u17b5\u180b-\u180e\u200b-\u200f\u202a-\u202e\u2060-\u206f\ufe00-\ufe0f\ufeff]")
@@ -320,9 +323,11 @@ def abuse_scores(documents: DataFrame, labels: DataFrame, most_labels: int = 20_
     """
     spark = documents.sparkSession
     given = labels.where("doc_id is not null and abusive in (0, 1)")
-    some = given.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_labels)
+    some = written(least_hashed(given.select("doc_id").distinct(), "doc_id", most_labels), "labelled")
     given = given.join(some, "doc_id", "left_semi").select("doc_id", "abusive").toPandas()
-    texts = documents.where(F.length("text") > 0).select("doc_id", "text").join(some, "doc_id").dropDuplicates(["doc_id"]).toPandas()
+    # Texts that certainly have no label are dropped before anything is shuffled.
+    read = holding(documents.where(F.length("text") > 0).select(F.col("doc_id").cast("long").alias("id"), "text"), some.select(F.col("doc_id").cast("long").alias("id")))
+    texts = read.withColumnRenamed("id", "doc_id").join(some, "doc_id").dropDuplicates(["doc_id"]).toPandas()
     fitted = train(dict(zip(texts["doc_id"].tolist(), texts["text"], strict=True)), list(zip(given["doc_id"].tolist(), given["abusive"].astype(int).tolist(), strict=True)), extra=extra)
     shared = spark.sparkContext.broadcast(fitted)
 
