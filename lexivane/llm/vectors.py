@@ -7,6 +7,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lexivane.sampling import least_hashed
+
 
 def usable(vectors: pd.Series, dim: int) -> tuple[np.ndarray, np.ndarray]:
     """The places of the vectors that have ``dim`` finite values, not all zero, and those vectors as a matrix of float64."""
@@ -54,6 +56,5 @@ def unit_rows(rows: DataFrame, id_column: str, vector_column: str, dim: int) ->
 
 def sampled(rows: DataFrame, most: int, dim: int, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """Ids and vectors of at most ``most`` rows of (id, v), those with the least hash of the id: a sample any run repeats."""
-    order = F.xxhash64("id", F.lit(seed))
-    got = rows.select("id", "v", order.alias("o")).orderBy("o", "id").limit(most).select("id", "v").toPandas()
+    got = least_hashed(rows.select("id", "v"), "id", most, seed).toPandas()
     return got["id"].to_numpy(np.int64), from_bytes(got["v"], dim)
