@@ -28,7 +28,7 @@ def local_session(cores: str = "8", app: str = "lexivane") -> SparkSession:
 def shared_folder(spark: SparkSession) -> str:
     """The folder all executors share: ``spark.checkpoint.dir``; a temporary one only where it is unset."""
     sc = spark.sparkContext
-    folder = sc.getConf().get("spark.checkpoint.dir", None) or sc._jsc.sc().getCheckpointDir().getOrElse(None)
+    folder = sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if folder is None:
         folder = tempfile.mkdtemp(prefix="lexivane-")
         atexit.register(shutil.rmtree, folder, True)
