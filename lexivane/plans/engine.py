@@ -12,6 +12,7 @@ from lexivane.operators.cache import Cache
 from lexivane.operators.encoders import Encoder, encoded
 from lexivane.operators.search import fetched, search
 from lexivane.operators.suggest import suggest
+from lexivane.session import shipped
 from lexivane.sources import feeds, store
 
 
@@ -22,7 +23,7 @@ class Engine:
     """
 
     def __init__(self, spark: SparkSession, encoder: Encoder, words: DataFrame | None = None, cache: int = 1000, parity: bool = False):
-        self.spark, self.encoder, self.parity = spark, encoder, parity
+        self.spark, self.encoder, self.parity = shipped(spark), encoder, parity
         self.words = words if words is not None else spark.createDataFrame([], "word string")
         self.docs: DataFrame | None = None
         self.centroids: DataFrame | None = None

@@ -6,13 +6,15 @@ import atexit
 import shutil
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cores: str = "8", app: str = "lexivane") -> SparkSession:
     """A session for tests and benchmarks on one machine."""
-    return (
+    return shipped(
         SparkSession.builder.master(f"local[{cores}]")
         .appName(app)
         .config("spark.sql.shuffle.partitions", cores if cores.isdigit() else "8")
@@ -36,6 +38,25 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+_shipped: set[str] = set()
+
+
+def shipped(spark: SparkSession) -> SparkSession:
+    """Gives this package to the executors' Python, once for each application, so that it need not be installed there."""
+    sc = spark.sparkContext
+    if sc.applicationId not in _shipped:
+        _shipped.add(sc.applicationId)
+        package = Path(__file__).resolve().parent
+        folder = tempfile.mkdtemp(prefix="lexivane-code-")  # on the driver alone; Spark sends the file
+        atexit.register(shutil.rmtree, folder, True)
+        path = f"{folder}/lexivane.zip"
+        with zipfile.ZipFile(path, "w") as z:
+            for f in sorted(package.rglob("*.py")):
+                z.write(f, f.relative_to(package.parent))
+        sc.addPyFile(path)
+    return spark
+
+
 def written(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts the lineage and survives the loss of executors."""
     spark = df.sparkSession
