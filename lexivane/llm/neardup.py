@@ -6,16 +6,13 @@ count of the two) are at least ``similarity`` of those of the longer one.
 Steps, each over all rows:
 
 1. Texts with the same words in the same order form one class; its smallest id stands for it.
-2. Word pairs that occur in more than ``common`` of the texts (and in more than 50) say nothing about a common origin. A pair that is
-   frequent overall is frequent in at least one partition, so each partition reports only its own frequent pairs;
-   the sums over partitions give the set, which has at most (pairs a text) / ``common`` members.
-3. The other pairs are sketched by 4 * ``blocks`` min-hashes, seen as a word over a large alphabet.
+2. The word pairs are sketched by 4 * ``blocks`` min-hashes, seen as a word over a large alphabet. No pair is left out, however many
+   texts it occurs in: a story stored in a third of the rows is alike by such pairs alone.
    Covering: each block of four positions has the masks of the Hadamard code that keep two positions.
    Four positions of which at most two differ agree under one of them, so two sketches that
    agree in at least ``blocks`` + 1 positions - every pair within the radius - collide in some table.
-4. Colliding classes whose 64 sign bits and then whose whole sketches are near enough are compared word by word.
-
-A text with fewer than eight uncommon pairs is sketched by all its pairs.
+3. A key that many texts share is split into parts, and each two parts meet in a task of their own, so that all its pairs are seen.
+4. Colliding classes whose sizes and sign bits and then whose whole sketches are near enough are compared word by word.
 """
 
 from __future__ import annotations
@@ -36,6 +33,8 @@ from lexivane.session import written
 
 #: The masks of one block of four positions.
 MASKS = tuple(combinations(range(4), 2))
+#: Longs of sign bits.
+SIGNS = 4
 
 
 def pair_counts(title: str | None, content: str | None) -> Counter:
@@ -75,66 +74,43 @@ def _classes(docs: DataFrame, least_words: int) -> DataFrame:
     return docs.select("id", "title", "content").where(F.col("id").isNotNull()).mapInPandas(run, "id long, sig binary")
 
 
-def _common_pairs(docs: DataFrame, least_words: int, share: float, least: int = 50) -> np.ndarray:
-    """Hashes of the word pairs in more than ``least`` and more than ``share`` of the texts; at most (pairs a text) / ``share`` of them."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        n, kept = 0, []
-        for _, rows in _texts(batches, least_words):
-            kept += [np.unique(shingles(r, 2)) for r in rows]
-            n += len(rows)
-            if len(kept) > 20_000:  # a part of a partition serves as well as a partition
-                yield of(kept)
-                kept = []
-        if kept:
-            yield of(kept)
-
-    def of(kept: list[np.ndarray]) -> pd.DataFrame:
-        pair, count = np.unique(np.concatenate(kept), return_counts=True)
-        often = count > max(1, share * len(kept))
-        return pd.DataFrame({"pair": np.append(pair[often].view(np.int64), 0), "n": np.append(count[often], len(kept)), "total": np.append(np.zeros(often.sum(), bool), True)})
-
-    counts = docs.select("id", "title", "content").mapInPandas(run, "pair long, n long, total boolean")
-    counts = written(counts.groupBy("pair", "total").agg(F.sum("n").alias("n")), "pairs")
-    total = counts.where("total").agg(F.sum("n")).first()[0] or 0
-    often = counts.where(~F.col("total") & (F.col("n") > max(float(least), share * total)))
-    return np.sort(often.select("pair").toPandas()["pair"].to_numpy(np.int64).view(np.uint64))
-
-
-def _sketches(docs: DataFrame, least_words: int, common: np.ndarray, size: int) -> DataFrame:
-    """id, sketch (``size`` 32-bit min-hashes), sign (64 bits of further min-hashes)."""
-    shared = docs.sparkSession.sparkContext.broadcast(common)
+def _sketches(docs: DataFrame, least_words: int, size: int) -> DataFrame:
+    """id, n (word pairs), sketch (``size`` 32-bit min-hashes), signs (``SIGNS`` longs of bits of further min-hashes)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        often = shared.value
         for batch, rows in _texts(batches, least_words):
             if not rows:
                 continue
-            features = []
-            for r in rows:
-                pairs = np.unique(shingles(r, 2))
-                if len(often):
-                    at = np.searchsorted(often, pairs)
-                    at[at == len(often)] = 0
-                    rare = pairs[often[at] != pairs]
-                    pairs = rare if len(rare) >= 8 else pairs
-                features.append(pairs if len(pairs) else r[:1])
+            features = [np.unique(shingles(r, 2)) if len(r) > 1 else r[:1] for r in rows]
             starts = np.cumsum([0] + [len(f) for f in features[:-1]])
             flat = np.concatenate(features)
             sketch = minhashes(flat, starts, size).view(np.int32)
-            bits = minhashes(flat, starts, 64, seed=2) & np.uint32(1)
-            sign = np.packbits(bits.astype(np.uint8), axis=1).view(np.int64).ravel()
-            yield pd.DataFrame({"id": batch["id"].to_numpy(np.int64), "sketch": list(sketch), "sign": sign})
+            bits = minhashes(flat, starts, 64 * SIGNS, seed=2) & np.uint32(1)
+            signs = np.packbits(bits.astype(np.uint8), axis=1).view(np.int64)
+            yield pd.DataFrame({"id": batch["id"].to_numpy(np.int64), "n": [max(len(r) - 1, 0) for r in rows], "sketch": list(sketch), "signs": list(signs)})
 
-    return docs.select("id", "title", "content").mapInPandas(run, "id long, sketch array<int>, sign long")
+    return docs.select("id", "title", "content").mapInPandas(run, "id long, n int, sketch array<int>, signs array<long>")
 
 
 def _table_keys(sketches: DataFrame, blocks: int) -> DataFrame:
-    """id, sign, key: one row for each table; the key is made of the table's number and the two symbols its mask keeps."""
+    """id, n, s0, s1, ... (sign bits), key: one row for each table; the key is made of the table's number and the two symbols its mask keeps."""
     s = F.col("sketch")
     masks = [(4 * block + i, 4 * block + j) for block in range(blocks) for i, j in MASKS]
     keys = F.array(*[F.xxhash64(F.lit(n), s[i], s[j]) for n, (i, j) in enumerate(masks)])
-    return sketches.select("id", "sign", F.explode(keys).alias("key"))
+    return sketches.select("id", "n", *[F.col("signs")[k].alias(f"s{k}") for k in range(SIGNS)], F.explode(keys).alias("key"))
+
+
+def _parted(keys: DataFrame, hot: int) -> DataFrame:
+    """``keys`` with part, lo, hi: a row of a key of about ``hot`` rows or more is in one part of the key, and once in each pair (lo, hi) of that part with another or itself.
+
+    Sizes are estimated from a sample of the ids; they decide how a key is split, not what meets.
+    """
+    seen = keys.where(F.pmod(F.xxhash64("id", F.lit("sample")), F.lit(8)) == 0).groupBy("key").agg((F.count("*") * 8).alias("size"))
+    parts = written(seen.where(F.col("size") > hot).select("key", F.ceil(F.col("size") / hot).alias("parts")), "hot")
+    every = keys.join(parts, "key", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    every = every.withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")))
+    every = every.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    return every.withColumn("lo", F.least("part", "other")).withColumn("hi", F.greatest("part", "other")).drop("parts", "other")
 
 
 def _near_sketches(candidates: DataFrame, sketches: DataFrame, least: int) -> DataFrame:
@@ -184,7 +160,7 @@ def _verified(candidates: DataFrame, docs: DataFrame, similarity: float) -> Data
     return both.where(F.col("similarity") >= similarity)
 
 
-def near_duplicates(docs: DataFrame, similarity: float = 0.55, least_words: int = 20, blocks: int = 8, common: float = 0.005) -> tuple[DataFrame, DataFrame]:
+def near_duplicates(docs: DataFrame, similarity: float = 0.55, least_words: int = 20, blocks: int = 8, hot: int = 2000) -> tuple[DataFrame, DataFrame]:
     """Near-duplicates among the rows of ``docs`` (id, title, content; other columns are ignored).
 
     Returns ``(members, links)``: members (id, rep_id) has one row for each row of ``docs`` with at least ``least_words``
@@ -202,15 +178,19 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.55, least_words: int
     several = reps.where("n > 1").select("sig", "rep_id")
     members = sigs.join(several, "sig", "left").select("id", F.coalesce("rep_id", "id").alias("rep_id")).distinct()
     members = written(members, "members")
-    sketches = _sketches(docs, least_words, _common_pairs(docs, least_words, common), 4 * blocks)
+    sketches = _sketches(docs, least_words, 4 * blocks)
     sketches = written(sketches.join(members.where("id != rep_id").select("id"), "id", "left_anti"), "sketches")
-    keys = _table_keys(sketches, blocks)
+    keys = _parted(_table_keys(sketches, blocks), hot)
     # At the least similarity that can hold, o / (2 - o), 1 - (1 + J) / 2 of the sign bits differ; 2.5 deviations more are let through.
     differ = (1 - similarity / (2 - similarity)) / 2
-    most = int(64 * differ + 2.5 * (64 * differ * (1 - differ)) ** 0.5)
+    bits = 64 * SIGNS
+    most = int(bits * differ + 2.5 * (bits * differ * (1 - differ)) ** 0.5)
     # Both sides are the same plan, so that one exchange serves them.
-    same = (F.col("a.key") == F.col("b.key")) & (F.col("a.id") < F.col("b.id"))
-    near = F.bit_count(F.col("a.sign").bitwiseXOR(F.col("b.sign"))) <= most
+    same = (F.col("a.key") == F.col("b.key")) & (F.col("a.lo") == F.col("b.lo")) & (F.col("a.hi") == F.col("b.hi"))
+    same &= (F.col("a.id") < F.col("b.id")) & ((F.col("a.lo") == F.col("a.hi")) | (F.col("a.part") != F.col("b.part")))
+    # No more word pairs than the shorter text has can be shared.
+    same &= F.least("a.n", "b.n") >= similarity * F.greatest("a.n", "b.n")
+    near = sum((F.bit_count(F.col(f"a.s{k}").bitwiseXOR(F.col(f"b.s{k}"))) for k in range(SIGNS)), F.lit(0)) <= most
     candidates = keys.alias("a").join(keys.alias("b"), same & near).select(F.col("a.id").alias("id_a"), F.col("b.id").alias("id_b")).distinct()
     candidates = written(_near_sketches(candidates, sketches, max(2, blocks * 3 // 4)), "candidates")
     ids = candidates.select(F.explode(F.array("id_a", "id_b")).alias("id"))

@@ -48,6 +48,21 @@ def test_near_duplicates_like_brute_force(spark, stories):
     assert all(classes[i] == i or any(i in p for p in wanted) for i in classes)
 
 
+@pytest.mark.parametrize("hot", [2000, 8])
+def test_versions_of_a_story_in_a_third_of_the_rows(spark, hot):
+    """Each version has edits of its own; whatever they share is in a third of the rows. Keys that are split give the same pairs."""
+    rng, rows = random.Random(9), []
+    told = story(rng, 100)
+    for k in range(240):
+        w = story(rng, 100) if k % 3 else [f"edit{k}x{j}" if j in range(k % 7, 100, 17) else x for j, x in enumerate(told)]
+        rows.append((k, None, " ".join(w)))
+    _, links = neardup.near_duplicates(spark.createDataFrame(rows, "id long, title string, content string"), hot=hot)
+    got = [(r["id_a"], r["id_b"]) for r in links.collect()]
+    counts = [neardup.pair_counts(t, c) for _, t, c in rows]
+    wanted = {(a, b) for a, b in combinations(range(240), 2) if neardup.overlap(counts[a], counts[b]) >= 0.55}
+    assert len(wanted) == 80 * 79 // 2 and len(got) == len(set(got)) and set(got) == wanted
+
+
 def test_near_duplicates_of_nothing(spark):
     members, links = neardup.near_duplicates(spark.createDataFrame([], "id long, title string, content string"))
     assert members.count() == 0 and links.count() == 0 and neardup.duplicate_classes(members, links).count() == 0
