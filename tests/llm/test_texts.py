@@ -43,6 +43,17 @@ def test_markup_records(spark):
     assert markup.markup_records(df.where("rec_id = ''")).count() == 0
 
 
+def test_possible_notation_beside_sure_notation(spark):
+    rows = [(f"t{k}", "site", f"# Head\n* one {k}\n* two") for k in range(4)] + [("t9", "site", "* one\n* two"), ("t8", "elsewhere", "* one\n* two")]
+    # Lists that stand beside notation on one page of many are lists of the host's own.
+    rows += [(f"u{k}", "mixed", "1. one\n2. two") for k in range(8)] + [(f"v{k}", "mixed", "<p>x</p>\n1. one") for k in range(3)]
+    df = spark.createDataFrame(rows, "rec_id string, host string, text string")
+    got = {r["rec_id"]: r["notation"] for r in markup.markup_records(df).collect()}
+    assert set(got) == {"t0", "t1", "t2", "t3", "t9", "v0", "v1", "v2"} and got["t9"] == "bullet"
+    texts = {r["rec_id"]: r["text"] for r in markup.cleaned(df).collect()}
+    assert texts["t9"] == "- one\n- two" and texts["t8"] == "* one\n* two" and len(texts) == len(rows)
+
+
 def test_template_classes(spark):
     rows = [(str(k), "h", "<div>" * (k + 1) + "x" + "</div>" * (k + 1)) for k in range(4)] + [("9", "h", "<b>y</b>")]
     classes = markup.template_classes(spark.createDataFrame(rows, "rec_id string, host string, text string")).collect()
