@@ -85,6 +85,17 @@ def test_truncated(spark):
     assert truncation.truncated(df.where("rec_id < 0")).count() == 0
 
 
+def test_copies_of_texts_with_a_closed_ending(spark):
+    """Cut at a decimal point; the copy that goes on is not the longest one of the text's bands, and a closed summary is whole."""
+    whole = "The price of grain in the harbour market this week rose to 3.5 percent above that of the year before. Traders were pleased."
+    at = whole.index("5 percent")
+    other = whole[: at - 3] + "a new height. " + " ".join(f"Line {k} of the market report was added later." for k in range(30))
+    rows = [(1, whole[:at]), (2, whole), (3, other), (4, whole[: whole.index(" above")] + "."), (5, whole[:at]), (6, whole[: whole.index("percent") + 3])]
+    df = spark.createDataFrame([(k, "s", "A title", t) for k, t in rows], "rec_id long, source string, title string, text string")
+    cut = {r["rec_id"]: r["evidence"] for r in truncation.truncated(df).collect()}
+    assert cut == {1: "copy", 5: "copy", 6: "copy"}
+
+
 @pytest.mark.parametrize(("text", "copy", "wanted"), [(WHOLE[:60], WHOLE, 1), (WHOLE[: WHOLE.index(". Off")], WHOLE, -1), (WHOLE, WHOLE, 0), (WHOLE[:58], WHOLE, 1), ("quite other words than those of the copy", WHOLE, 0), ("", WHOLE, 0)])
 def test_ends_early(text, copy, wanted):
     assert truncation.ends_early(text, copy) == wanted
