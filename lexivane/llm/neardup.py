@@ -3,20 +3,23 @@
 Two texts are alike if the adjacent word pairs they share (counted as often as they occur, the lesser
 count of the two) are at least ``similarity`` of those of the longer one.
 
-Steps, each over all rows:
+Steps, each over all rows; the texts are read once, but for those of the last step:
 
 1. Texts with the same words in the same order form one class; its smallest id stands for it.
-2. The word pairs are sketched by 4 * ``blocks`` min-hashes, seen as a word over a large alphabet. No pair is left out, however many
+2. The word pairs, those of one kind numbered, are sketched by 4 * ``blocks`` min-hashes, seen as a word over a large alphabet. No pair is left out, however many
    texts it occurs in: a story stored in a third of the rows is alike by such pairs alone.
    Covering: each block of four positions has the masks of the Hadamard code that keep two positions.
    Four positions of which at most two differ agree under one of them, so two sketches that
    agree in at least ``blocks`` + 1 positions - every pair within the radius - collide in some table.
 3. A key that many texts share is split into parts, and each two parts meet in a task of their own, so that all its pairs are seen.
-4. Colliding classes whose sizes and sign bits and then whose whole sketches are near enough are compared word by word.
+4. Texts in common prose share symbols without being alike. Of those that collide, only pairs whose sizes allow it, and whose bits of majority
+   (``NEAR`` longs with the key, ``SIGNS`` in all) differ in no more places than ``deviations`` above what is expected at the least similarity, go on.
+5. What is left is compared word by word.
 """
 
 from __future__ import annotations
 
+import math
 from collections import Counter
 from collections.abc import Iterator
 from itertools import combinations
@@ -28,13 +31,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexivane.llm.components import components
-from lexivane.llm.words import WordHash, minhashes, shingles, words
+from lexivane.llm.words import WordHash, minhashes, numbered, shingles, sign_bits, words
 from lexivane.session import written
 
 #: The masks of one block of four positions.
 MASKS = tuple(combinations(range(4), 2))
-#: Longs of sign bits.
-SIGNS = 4
+#: Longs of bits of majority that stand beside each key, and in all.
+NEAR, SIGNS = 6, 8
 
 
 def pair_counts(title: str | None, content: str | None) -> Counter:
@@ -51,45 +54,33 @@ def overlap(a: Counter, b: Counter) -> float:
     return sum(min(n, b[k]) for k, n in a.items() if k in b) / longer
 
 
-def _texts(batches: Iterator[pd.DataFrame], least_words: int) -> Iterator[tuple[pd.DataFrame, list[np.ndarray]]]:
-    """The word hashes of each long enough row of each batch."""
-    hashes = WordHash()
-    for batch in batches:
-        keep, rows = [], []
-        for k, (title, content) in enumerate(zip(batch["title"], batch["content"], strict=True)):
-            body = words(content)
-            if len(body) >= least_words:
-                keep.append(k)
-                rows.append(hashes.of(words(title) + body))
-        yield batch.iloc[keep], rows
-
-
-def _classes(docs: DataFrame, least_words: int) -> DataFrame:
-    """id, sig: rows of the same words in the same order have the same 128-bit sig; short rows are absent."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch, rows in _texts(batches, least_words):
-            yield pd.DataFrame({"id": batch["id"].to_numpy(np.int64), "sig": [xxhash.xxh3_128_digest(r.tobytes()) for r in rows]})
-
-    return docs.select("id", "title", "content").where(F.col("id").isNotNull()).mapInPandas(run, "id long, sig binary")
-
-
 def _sketches(docs: DataFrame, least_words: int, size: int) -> DataFrame:
-    """id, n (word pairs), sketch (``size`` 32-bit min-hashes), signs (``SIGNS`` longs of bits of further min-hashes)."""
+    """id, sig, n (word pairs), sketch (``size`` 32-bit min-hashes), signs (``SIGNS`` longs): of the rows that are long enough.
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch, rows in _texts(batches, least_words):
-            if not rows:
-                continue
-            features = [np.unique(shingles(r, 2)) if len(r) > 1 else r[:1] for r in rows]
-            starts = np.cumsum([0] + [len(f) for f in features[:-1]])
-            flat = np.concatenate(features)
-            sketch = minhashes(flat, starts, size).view(np.int32)
-            bits = minhashes(flat, starts, 64 * SIGNS, seed=2) & np.uint32(1)
-            signs = np.packbits(bits.astype(np.uint8), axis=1).view(np.int64)
-            yield pd.DataFrame({"id": batch["id"].to_numpy(np.int64), "n": [max(len(r) - 1, 0) for r in rows], "sketch": list(sketch), "signs": list(signs)})
+    Rows of the same words in the same order have the same 128-bit sig.
+    """
 
-    return docs.select("id", "title", "content").mapInPandas(run, "id long, n int, sketch array<int>, signs array<long>")
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        hashes = WordHash()
+        for batch in batches:
+            for start in range(0, len(batch), 250):
+                part = batch.iloc[start : start + 250]
+                ids, rows = [], []
+                for id_, title, content in zip(part["id"], part["title"], part["content"], strict=True):
+                    body = words(content)
+                    if len(body) >= least_words:
+                        ids.append(id_)
+                        rows.append(hashes.of(words(title) + body))
+                if not rows:
+                    continue
+                features = [numbered(shingles(r, 2)) if len(r) > 1 else r[:1] for r in rows]
+                starts = np.cumsum([0] + [len(f) for f in features[:-1]])
+                flat = np.concatenate(features)
+                sigs = [xxhash.xxh3_128_digest(r.tobytes()) for r in rows]
+                sketch = minhashes(flat, starts, size).view(np.int32)
+                yield pd.DataFrame({"id": np.array(ids, np.int64), "sig": sigs, "n": [max(len(r) - 1, 0) for r in rows], "sketch": list(sketch), "signs": list(sign_bits(flat, starts, SIGNS))})
+
+    return docs.select("id", "title", "content").where(F.col("id").isNotNull()).mapInPandas(run, "id long, sig binary, n int, sketch array<int>, signs array<long>")
 
 
 def _table_keys(sketches: DataFrame, blocks: int) -> DataFrame:
@@ -97,7 +88,7 @@ def _table_keys(sketches: DataFrame, blocks: int) -> DataFrame:
     s = F.col("sketch")
     masks = [(4 * block + i, 4 * block + j) for block in range(blocks) for i, j in MASKS]
     keys = F.array(*[F.xxhash64(F.lit(n), s[i], s[j]) for n, (i, j) in enumerate(masks)])
-    return sketches.select("id", "n", *[F.col("signs")[k].alias(f"s{k}") for k in range(SIGNS)], F.explode(keys).alias("key"))
+    return sketches.select("id", "n", *[F.col("signs")[k].alias(f"s{k}") for k in range(NEAR)], F.explode(keys).alias("key"))
 
 
 def _parted(keys: DataFrame, hot: int) -> DataFrame:
@@ -113,29 +104,38 @@ def _parted(keys: DataFrame, hot: int) -> DataFrame:
     return every.withColumn("lo", F.least("part", "other")).withColumn("hi", F.greatest("part", "other")).drop("parts", "other")
 
 
-def _near_sketches(candidates: DataFrame, sketches: DataFrame, least: int) -> DataFrame:
-    """The candidates whose sketches agree in at least ``least`` positions."""
-    left = sketches.select(F.col("id").alias("id_a"), F.col("sketch").alias("sketch_a"))
-    right = sketches.select(F.col("id").alias("id_b"), F.col("sketch").alias("sketch_b"))
+def _most(similarity: float, longs: int, deviations: float) -> int:
+    """In how many of the bits of majority a pair of the least similarity differs, ``deviations`` above the average."""
+    n, p = 64 * longs, math.acos(similarity) / math.pi
+    return int(n * p + deviations * math.sqrt(n * p * (1 - p)))
+
+
+def _near_signs(candidates: DataFrame, sketches: DataFrame, most: int) -> DataFrame:
+    """The candidates whose bits of majority differ in at most ``most`` places."""
+    left = sketches.select(F.col("id").alias("id_a"), F.col("signs").alias("signs_a"))
+    right = sketches.select(F.col("id").alias("id_b"), F.col("signs").alias("signs_b"))
     both = candidates.join(left, "id_a").join(right, "id_b")
-    agree = F.aggregate(F.zip_with("sketch_a", "sketch_b", lambda x, y: (x == y).cast("int")), F.lit(0), lambda n, x: n + x)
-    return both.where(agree >= least).select("id_a", "id_b")
+    differ = sum((F.bit_count(F.col("signs_a")[k].bitwiseXOR(F.col("signs_b")[k])) for k in range(SIGNS)), F.lit(0))
+    return both.where(differ <= most).select("id_a", "id_b")
+
 
+def holding(docs: DataFrame, ids: DataFrame, least_bits: int = 16, most_bits: int = 28) -> DataFrame:
+    """The rows of ``docs`` whose id may be in ``ids``: those it certainly isn't are dropped before any shuffle, by a bitmap.
 
-def holding(docs: DataFrame, ids: DataFrame, bits: int = 22) -> DataFrame:
-    """The rows of ``docs`` whose id may be in ``ids``: those it certainly isn't are dropped before any shuffle, by a bitmap of 2 ** ``bits`` bits."""
+    It has eight bits for each of ``ids`` and 2 ** ``most_bits`` (32 MB) at most; with more than a few times 10 ** 8 ids it drops fewer rows, and more is shuffled.
+    """
+    bits = min(most_bits, max(least_bits, int(8 * ids.count()).bit_length()))
     place = F.pmod(F.xxhash64("id"), F.lit(1 << bits))  # the bitmap functions count places from 1
     marks = ids.select((place + 1).alias("p")).groupBy(F.bitmap_bucket_number("p").alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("m"))
-    found = {r["b"]: bytes(r["m"]) for r in marks.collect()}  # 2 ** bits / 8 bytes at most
-    marked = np.zeros(1 << bits, bool)
-    for b, m in found.items():
-        marked[(b - 1) * 32768 : b * 32768] = np.unpackbits(np.frombuffer(m, np.uint8), bitorder="little")
-    shared = docs.sparkSession.sparkContext.broadcast(np.packbits(marked))
+    bitmap = np.zeros(max(4096, (1 << bits) // 8), np.uint8)
+    for r in marks.toLocalIterator():
+        bitmap[(r["b"] - 1) * 4096 : r["b"] * 4096] = np.frombuffer(bytes(r["m"]), np.uint8)
+    shared = docs.sparkSession.sparkContext.broadcast(bitmap)
 
     @F.pandas_udf("boolean")
     def maybe(p: pd.Series) -> pd.Series:
         at = p.to_numpy(np.int64)
-        return pd.Series((shared.value[at >> 3] >> (7 - (at & 7)) & 1).astype(bool))
+        return pd.Series((shared.value[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool))
 
     return docs.where(maybe(place))
 
@@ -160,7 +160,7 @@ def _verified(candidates: DataFrame, docs: DataFrame, similarity: float) -> Data
     return both.where(F.col("similarity") >= similarity)
 
 
-def near_duplicates(docs: DataFrame, similarity: float = 0.55, least_words: int = 20, blocks: int = 8, hot: int = 2000) -> tuple[DataFrame, DataFrame]:
+def near_duplicates(docs: DataFrame, similarity: float = 0.55, least_words: int = 20, blocks: int = 8, hot: int = 2000, deviations: float = 3.0) -> tuple[DataFrame, DataFrame]:
     """Near-duplicates among the rows of ``docs`` (id, title, content; other columns are ignored).
 
     Returns ``(members, links)``: members (id, rep_id) has one row for each row of ``docs`` with at least ``least_words``
@@ -171,28 +171,22 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.55, least_words: int
     An id is taken to be one row.
     """
     docs = docs.select(F.col("id").cast("long").alias("id"), "title", "content")
-    sigs = written(_classes(docs, least_words), "signatures")
-    reps = sigs.groupBy("sig").agg(F.min("id").alias("rep_id"), F.count("*").alias("n"))
-    reps = written(reps, "classes")
+    every = written(_sketches(docs, least_words, 4 * blocks), "sketches")
+    sigs = every.select("id", "sig")
     # Only classes with several rows are joined; a class of its own needs none.
-    several = reps.where("n > 1").select("sig", "rep_id")
-    members = sigs.join(several, "sig", "left").select("id", F.coalesce("rep_id", "id").alias("rep_id")).distinct()
-    members = written(members, "members")
-    sketches = _sketches(docs, least_words, 4 * blocks)
-    sketches = written(sketches.join(members.where("id != rep_id").select("id"), "id", "left_anti"), "sketches")
+    several = written(sigs.groupBy("sig").agg(F.min("id").alias("rep_id"), F.count("*").alias("n")).where("n > 1"), "classes").select("sig", "rep_id")
+    members = written(sigs.join(several, "sig", "left").select("id", F.coalesce("rep_id", "id").alias("rep_id")).distinct(), "members")
+    copies = members.where("id != rep_id").select("id")
+    sketches = written(every.join(copies, "id", "left_anti").select("id", "n", "sketch", "signs"), "representatives")
     keys = _parted(_table_keys(sketches, blocks), hot)
-    # At the least similarity that can hold, o / (2 - o), 1 - (1 + J) / 2 of the sign bits differ; 2.5 deviations more are let through.
-    differ = (1 - similarity / (2 - similarity)) / 2
-    bits = 64 * SIGNS
-    most = int(bits * differ + 2.5 * (bits * differ * (1 - differ)) ** 0.5)
     # Both sides are the same plan, so that one exchange serves them.
     same = (F.col("a.key") == F.col("b.key")) & (F.col("a.lo") == F.col("b.lo")) & (F.col("a.hi") == F.col("b.hi"))
     same &= (F.col("a.id") < F.col("b.id")) & ((F.col("a.lo") == F.col("a.hi")) | (F.col("a.part") != F.col("b.part")))
     # No more word pairs than the shorter text has can be shared.
     same &= F.least("a.n", "b.n") >= similarity * F.greatest("a.n", "b.n")
-    near = sum((F.bit_count(F.col(f"a.s{k}").bitwiseXOR(F.col(f"b.s{k}"))) for k in range(SIGNS)), F.lit(0)) <= most
+    near = sum((F.bit_count(F.col(f"a.s{k}").bitwiseXOR(F.col(f"b.s{k}"))) for k in range(NEAR)), F.lit(0)) <= _most(similarity, NEAR, deviations)
     candidates = keys.alias("a").join(keys.alias("b"), same & near).select(F.col("a.id").alias("id_a"), F.col("b.id").alias("id_b")).distinct()
-    candidates = written(_near_sketches(candidates, sketches, max(2, blocks * 3 // 4)), "candidates")
+    candidates = written(_near_signs(candidates, sketches, _most(similarity, SIGNS, deviations)), "candidates")
     ids = candidates.select(F.explode(F.array("id_a", "id_b")).alias("id"))
     links = written(_verified(candidates, holding(docs, ids), similarity), "links")
     return members, links

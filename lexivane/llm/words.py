@@ -57,6 +57,14 @@ def shingles(hashes: np.ndarray, width: int) -> np.ndarray:
     return mix(out)
 
 
+def numbered(values: np.ndarray) -> np.ndarray:
+    """Each value by itself the first time it occurs, and another one for its second, third, ... time: what two multisets share, these share as sets."""
+    values = np.sort(values)
+    first = np.flatnonzero(np.r_[True, values[1:] != values[:-1]]) if len(values) else np.empty(0, np.int64)
+    again = np.arange(len(values)) - np.repeat(first, np.diff(np.append(first, len(values))))
+    return np.where(again > 0, mix(values + again.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)), values)
+
+
 def minhashes(flat: np.ndarray, starts: np.ndarray, size: int, seed: int = 1) -> np.ndarray:
     """``size`` 32-bit min-hashes of each segment of ``flat``; ``starts`` are the segments' first places, none of them empty."""
     rng = np.random.default_rng(seed)
@@ -66,3 +74,28 @@ def minhashes(flat: np.ndarray, starts: np.ndarray, size: int, seed: int = 1) ->
     for k in range(size):
         out[:, k] = np.minimum.reduceat(((flat * a[k] + b[k]) >> np.uint64(32)).astype(np.uint32), starts) if len(starts) else 0
     return out
+
+
+_LOW = np.uint64(0x0101010101010101)
+
+
+def sign_bits(flat: np.ndarray, starts: np.ndarray, longs: int) -> np.ndarray:
+    """``longs`` 64-bit integers for each segment of ``flat``: each bit is the majority of that bit over hashes of the segment's values.
+
+    Two sets whose cosine is c differ in a share of acos(c) / pi of the bits, on the average.
+    """
+    ends = np.append(starts[1:], len(flat))
+    # Eight counters of eight bits share a word, so that at most 255 values are summed at once.
+    cuts = [np.arange(s, e, 255) for s, e in zip(starts, ends, strict=True)]
+    first = np.cumsum([0, *(len(c) for c in cuts[:-1])])
+    cut = np.concatenate(cuts)
+    half = (ends - starts)[:, None]
+    out = np.empty((len(starts), longs), np.int64)
+    for k in range(longs):
+        h = mix(flat + np.uint64(0x9E3779B97F4A7C15 * (k + 1) & MASK))
+        bits = np.empty((len(starts), 8, 8), bool)
+        for b in range(8):
+            sums = np.add.reduceat(h >> np.uint64(b) & _LOW, cut).view(np.uint8).reshape(-1, 8)
+            bits[:, b] = 2 * np.add.reduceat(sums, first, axis=0, dtype=np.int64) > half
+        out[:, k] = np.packbits(bits.reshape(len(starts), 64), axis=1).view(np.int64)[:, 0]
+    return out

@@ -63,11 +63,61 @@ def test_versions_of_a_story_in_a_third_of_the_rows(spark, hot):
     assert len(wanted) == 80 * 79 // 2 and len(got) == len(set(got)) and set(got) == wanted
 
 
+def test_alike_by_repeated_pairs_alone(spark):
+    """Two texts share little but one pair, which is most of each."""
+    rng = random.Random(3)
+    rows = [(k, None, " ".join(["spam"] * 200 + story(rng, 90))) for k in range(6)] + [(k, None, " ".join(story(rng, 290))) for k in range(10, 40)]
+    _, links = neardup.near_duplicates(spark.createDataFrame(rows, "id long, title string, content string"))
+    assert {(r["id_a"], r["id_b"]) for r in links.collect()} == set(combinations(range(6), 2))
+
+
+@pytest.mark.parametrize(("copies", "edited"), [(100, 0.1), (400, 0.06)])
+def test_recall_of_one_story_with_many_copies(spark, copies, edited):
+    """Each copy has edits of its own, among a few thousand other texts that share a notice."""
+    rng = random.Random(copies)
+    told, notice, rows = story(rng, 120), story(rng, 15), []
+    for k in range(3000):
+        w = [x if rng.random() > edited else f"e{rng.randrange(10**6)}" for x in told] if k < copies else story(rng, 80) + notice
+        rows.append((k, None, " ".join(w)))
+    members, links = neardup.near_duplicates(spark.createDataFrame(rows, "id long, title string, content string"), hot=300)
+    found = {(r["id_a"], r["id_b"]) for r in links.select("id_a", "id_b").collect()}
+    counts = [neardup.pair_counts(t, c) for _, t, c in rows[:copies]]
+    asked = [tuple(sorted(rng.sample(range(copies), 2))) for _ in range(4000)]
+    wanted = {p for p in asked if neardup.overlap(counts[p[0]], counts[p[1]]) >= 0.55}
+    assert len(wanted) > 1000 and len(wanted & found) >= 0.99 * len(wanted) and all(b < copies for _, b in found)
+    classes = {r["id"]: r["class_id"] for r in neardup.duplicate_classes(members, links).collect()}
+    assert sum(c == 0 for c in classes.values()) >= 0.99 * copies
+
+
+def test_recall_at_the_least_similarity(spark):
+    """Pairs that share between 55 and 60 percent."""
+    rng, rows, wanted = random.Random(77), [], set()
+    while len(wanted) < 400:
+        w = story(rng, 150)
+        v = [x if rng.random() > 0.235 else f"n{rng.randrange(10**6)}" for x in w]
+        if 0.55 <= neardup.overlap(neardup.pair_counts(None, " ".join(w)), neardup.pair_counts(None, " ".join(v))) < 0.6:
+            k = len(rows)
+            rows += [(k, None, " ".join(w)), (k + 1, None, " ".join(v))]
+            wanted.add((k, k + 1))
+    _, links = neardup.near_duplicates(spark.createDataFrame(rows, "id long, title string, content string"))
+    found = {(r["id_a"], r["id_b"]) for r in links.collect()}
+    assert found <= wanted and len(found) >= 0.98 * len(wanted)
+
+
 def test_near_duplicates_of_nothing(spark):
     members, links = neardup.near_duplicates(spark.createDataFrame([], "id long, title string, content string"))
     assert members.count() == 0 and links.count() == 0 and neardup.duplicate_classes(members, links).count() == 0
 
 
+def test_sign_bits_tell_the_angle():
+    rng = np.random.default_rng(1)
+    shared, one, two = (rng.integers(0, 1 << 63, n, dtype=np.uint64) for n in (550, 450, 450))
+    flat = np.concatenate([shared, one, shared, two])
+    bits = neardup.sign_bits(flat, np.array([0, 1000]), 16).view(np.uint64)
+    assert abs(int(np.bitwise_count(bits[0] ^ bits[1]).sum()) / 1024 - np.arccos(0.55) / np.pi) < 0.05
+    assert (neardup.sign_bits(flat, np.array([0, 1000]), 2) == bits[:, :2].view(np.int64)).all()
+
+
 def test_masks_cover():
     """Four positions of which at most two differ agree under one of the masks."""
     for differ in combinations(range(4), 2):
