@@ -37,7 +37,7 @@ from lexivane.session import written
 #: The masks of one block of four positions.
 MASKS = tuple(combinations(range(4), 2))
 #: Longs of bits of majority that stand beside each key, and in all.
-NEAR, SIGNS = 6, 8
+NEAR, SIGNS = 8, 16
 
 
 def pair_counts(title: str | None, content: str | None) -> Counter:

@@ -90,12 +90,14 @@ def sign_bits(flat: np.ndarray, starts: np.ndarray, longs: int) -> np.ndarray:
     first = np.cumsum([0, *(len(c) for c in cuts[:-1])])
     cut = np.concatenate(cuts)
     half = (ends - starts)[:, None]
-    out = np.empty((len(starts), longs), np.int64)
+    out, low = np.empty((len(starts), longs), np.int64), np.empty_like(flat)
     for k in range(longs):
         h = mix(flat + np.uint64(0x9E3779B97F4A7C15 * (k + 1) & MASK))
         bits = np.empty((len(starts), 8, 8), bool)
         for b in range(8):
-            sums = np.add.reduceat(h >> np.uint64(b) & _LOW, cut).view(np.uint8).reshape(-1, 8)
+            np.bitwise_and(h, _LOW, out=low)
+            np.right_shift(h, np.uint64(1), out=h)
+            sums = np.add.reduceat(low, cut).view(np.uint8).reshape(-1, 8)
             bits[:, b] = 2 * np.add.reduceat(sums, first, axis=0, dtype=np.int64) > half
         out[:, k] = np.packbits(bits.reshape(len(starts), 64), axis=1).view(np.int64)[:, 0]
     return out
