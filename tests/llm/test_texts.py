@@ -96,6 +96,38 @@ def test_copies_of_texts_with_a_closed_ending(spark):
     assert cut == {1: "copy", 5: "copy", 6: "copy"}
 
 
+def test_cut_versions_of_a_story_in_a_third_of_the_rows(spark):
+    """Most whole versions close where the cut ones end; edits stand before the break; one text is an exact copy of a cut one."""
+    rng = random.Random(6)
+    told = [f"w{rng.randrange(900)}" for _ in range(80)]
+    rows = []
+    for k in range(120):
+        w = [x if rng.random() > 0.01 else f"e{k}x{j}" for j, x in enumerate(told)]
+        if k % 3 == 0:  # cut after 60 words, on some within the word
+            rows.append((k, " ".join(w[:60]) + (" " + w[60][:2] if k % 2 else "")))
+        else:
+            rows.append((k, " ".join(w[:40]) + ". " + " ".join(w[40:]) + "."))
+    rows += [(200 + k, " ".join(f"v{rng.randrange(900)}" for _ in range(70)) + ".") for k in range(240)] + [(500, rows[0][1]), (501, " ".join(told[:40]) + ".")]
+    df = spark.createDataFrame([(k, "s", "A title", t) for k, t in rows], "rec_id long, source string, title string, text string")
+    cut = {r["rec_id"] for r in truncation.truncated(df).where("evidence = 'copy'").collect()}
+    wanted = {k for k in range(0, 120, 3)} | {500}
+    assert cut <= wanted and len(cut) >= 0.9 * len(wanted) and 500 in cut
+
+
+def test_place_keys_and_matches():
+    rng = random.Random(2)
+    import numpy as np
+
+    flat = np.array([rng.randrange(1 << 60) for _ in range(90)], np.uint64)
+    keys = truncation._place_keys(flat)
+    for w in truncation.WINDOWS:
+        assert keys[w].shape == (truncation.BANDS, 91 - w) and (truncation._place_keys(flat[7 : 7 + w])[w][:, 0] == keys[w][:, 7]).all()
+    for _ in range(100):
+        a, b = ([rng.choice("ab") for _ in range(rng.randint(1, 9))] for _ in range(2))
+        same = truncation._matches(a, b)
+        assert [n for n in same] == [max(m for m in range(min(p, len(a)) + 1) if a[len(a) - m :] == b[p - m : p]) for p in range(len(b) + 1)]
+
+
 @pytest.mark.parametrize(("text", "copy", "wanted"), [(WHOLE[:60], WHOLE, 1), (WHOLE[: WHOLE.index(". Off")], WHOLE, -1), (WHOLE, WHOLE, 0), (WHOLE[:58], WHOLE, 1), ("quite other words than those of the copy", WHOLE, 0), ("", WHOLE, 0)])
 def test_ends_early(text, copy, wanted):
     assert truncation.ends_early(text, copy) == wanted
