@@ -1,16 +1,20 @@
 """Problem 8: mixing sources to target weights, by Poisson replication.
 
-Of each listed source, the rate is the mean number of uses of a record that its target share of the total asks for. A record's
-number of uses is drawn from a Poisson distribution by inverting it at a uniform number hashed from the record's id
-and a seed, so that every run, and every retry of a lost task, draws the same. Uses beyond the source's cap are cut; the
-distribution's mean is raised such that the mean after the cut is the rate. A source whose rate reaches its cap uses every record as
-often as it may, and its shortfall shows in the report.
+Each record's number of uses is drawn from a Poisson distribution by inverting it at a uniform number hashed from the record's id and a seed, so that every
+run, and every retry of a lost task, draws the same. Uses beyond the source's cap are cut.
+
+Total: shares are of the sources that have records. A source whose target is beyond its cap uses every record as often as it may, and the others' shares rise by what it
+lacks. Without a given total, the largest is taken at which they rise by no more than ``tolerance`` of themselves.
+
+Mean: sizes are uneven, so the mean number of uses that the target asks for may miss it by far. The uniform numbers are fixed by the hash; so the tokens that any mean
+brings are known from the sizes summed over ``GRID`` steps of the uniform number, and the mean is the one that comes nearest to the target.
 """
 
 from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -25,38 +29,48 @@ def poisson_table(mean: float, cap: int) -> list[float]:
     return out
 
 
-def capped_mean(mean: float, cap: int) -> float:
-    """The mean number of uses when those beyond the cap are cut: the sum of the chances of more than 0, 1, ... cap - 1."""
-    return sum(1 - c for c in poisson_table(mean, cap))
+#: Steps of the uniform number over all listed sources together, and at most for each.
+GRID, FINEST = 1 << 20, 1 << 14
+
+
+def drawn_tokens(mean: float, cap: int, tokens: np.ndarray) -> tuple[int, list[float]]:
+    """The tokens that a mean brings, ``tokens`` being those of the records in each step of the uniform number; and the chances, raised to whole steps."""
+    steps = [min(math.ceil(c * len(tokens)), len(tokens)) for c in poisson_table(mean, cap)]
+    above = np.append(np.cumsum(tokens[::-1])[::-1], 0)
+    return int(sum(above[k] for k in steps)), [k / len(tokens) for k in steps]
 
 
-def mean_for(rate: float, cap: int) -> float:
-    """The Poisson mean whose capped mean is ``rate``; infinite where the cap leaves no more."""
-    if rate <= 0 or cap < 1:
-        return 0.0
-    if rate >= cap * 0.999:
-        return math.inf
+def chances_for(goal: float, cap: int, tokens: np.ndarray) -> list[float]:
+    """The chances of at most 0, 1, ... cap - 1 uses of the Poisson mean that brings the number of tokens nearest to ``goal``; of none at all if it brings the cap."""
+    if goal >= cap * int(tokens.sum()):
+        return [0.0] * cap
     low, high = 0.0, 1.0
-    while capped_mean(high, cap) < rate:
+    while high < 1e6 and drawn_tokens(high, cap, tokens)[0] < goal:
         high *= 2
-    for _ in range(80):
-        low, high = ((low + high) / 2, high) if capped_mean((low + high) / 2, cap) < rate else (low, (low + high) / 2)
-    return high
+    for _ in range(60):
+        mid = (low + high) / 2
+        low, high = (mid, high) if drawn_tokens(mid, cap, tokens)[0] < goal else (low, mid)
+    return min((drawn_tokens(m, cap, tokens) for m in (low, high)), key=lambda x: abs(x[0] - goal))[1]
 
 
-def plan(sizes: list[tuple[str, int]], targets: list[tuple[str, float, int]], total: float | None = None) -> dict[str, tuple[float, int, list[float]]]:
-    """source -> (rate, cap, chances). ``total`` is the mixture's size in tokens; if it isn't given, the size of the listed sources' records."""
-    have = dict(sizes)
-    listed = {s: (float(share), int(cap)) for s, share, cap in targets if s is not None and share and share > 0 and cap and cap > 0}
+def largest_total(sources: list[tuple[float, int]], tolerance: float) -> float:
+    """Of (share, most tokens), the shares adding up to 1: the largest total of which the sources together bring all but ``tolerance`` / (1 + ``tolerance``)."""
+    low, high = 0.0, max((most / share for share, most in sources), default=0.0) * (1 + tolerance)
+    for _ in range(100):
+        mid = (low + high) / 2
+        low, high = (mid, high) if sum(min(share * mid, most) for share, most in sources) * (1 + tolerance) >= mid else (low, mid)
+    return low
+
+
+def plan(tokens: dict[str, np.ndarray], goals: list[tuple[str, float, int]], total: float | None = None, tolerance: float = 0.05) -> dict[str, list[float]]:
+    """source -> chances, of (source, share, cap) and the tokens in each step of the uniform number of the sources that have any."""
+    held = [(s, share, cap) for s, share, cap in goals if s in tokens and int(tokens[s].sum()) > 0]
+    whole = sum(share for _, share, _ in held)
     if total is None:
-        total = float(sum(have.get(s, 0) for s in listed))
-    out = {}
-    for s, (share, cap) in listed.items():
-        if have.get(s, 0) > 0:
-            rate = min(share * total / have[s], float(cap))
-            mean = mean_for(rate, cap)
-            out[s] = (rate, cap, [0.0] * cap if math.isinf(mean) else poisson_table(mean, cap))
-    return out
+        # What absent sources lack raises the others too; a fifth of the tolerance is left for the caps in any case.
+        tolerance = max(tolerance / 5, (1 + tolerance) * whole / sum(share for _, share, _ in goals) - 1)
+        total = largest_total([(share / whole, cap * int(tokens[s].sum())) for s, share, cap in held], tolerance)
+    return {s: chances_for(share / whole * total, cap, tokens[s]) for s, share, cap in held}
 
 
 def uniform(seed: int, *columns: str) -> Column:
@@ -64,35 +78,44 @@ def uniform(seed: int, *columns: str) -> Column:
     return (F.shiftrightunsigned(F.xxhash64(F.lit(seed), *columns), 11).cast("double")) / F.lit(float(1 << 53))
 
 
-def record_uses(sized: DataFrame, targets: DataFrame, seed: int = 17, total: float | None = None) -> DataFrame:
+def record_uses(sized: DataFrame, targets: DataFrame, seed: int = 17, total: float | None = None, tolerance: float = 0.05) -> DataFrame:
     """doc_id, source, n_tokens, uses: of every record of ``sized`` (doc_id, source, n_tokens) in a listed source.
 
     Sources that are not listed, or whose share or cap is null, zero or negative, take no part; nor do records without tokens. A null source is
-    never listed. If a source is listed several times, its shares are added and its largest cap holds. The driver holds one row for each listed source.
+    never listed. If a source is listed several times, its shares are added and its largest cap holds. The driver holds ``GRID`` sums at most, or one for each listed source if there are more.
+    A source of a few records meets its target only as nearly as their sizes allow.
     """
     goals = targets.where("source is not null and target_share > 0 and max_repeats > 0").groupBy("source").agg(F.sum("target_share").alias("s"), F.max("max_repeats").alias("c"))
-    goals = [tuple(r) for r in goals.collect()]
-    listed = sized.where(F.col("source").isin([g[0] for g in goals]) & (F.col("n_tokens") > 0)) if goals else sized.where(F.lit(False))
-    sums = [tuple(r) for r in listed.groupBy("source").agg(F.sum("n_tokens")).collect()]
-    rates = plan(sums, goals, total)
+    goals = sorted(tuple(r) for r in goals.collect())
+    if not goals:
+        return sized.where(F.lit(False)).select("doc_id", "source", "n_tokens", F.lit(0).alias("uses"))
+    listed = sized.where(F.col("source").isin([g[0] for g in goals]) & (F.col("n_tokens") > 0))
+    steps = max(1, min(FINEST, 1 << (GRID // len(goals)).bit_length() - 1)) if len(goals) <= GRID else 1
     u = uniform(seed, "doc_id")
+    sums = listed.groupBy("source", F.floor(u * steps).cast("int").alias("k")).agg(F.sum("n_tokens").alias("n"))
+    tokens: dict[str, np.ndarray] = {}
+    for r in sums.toLocalIterator():
+        tokens.setdefault(r["source"], np.zeros(steps, np.int64))[r["k"]] = r["n"]
+    chances = plan(tokens, goals, total, tolerance)
     uses = F.lit(0)
-    for source, (_, _, chances) in sorted(rates.items()):
-        drawn = sum(((u >= F.lit(c)).cast("int") for c in chances), F.lit(0))
+    for source, limits in sorted(chances.items()):
+        drawn = sum(((u >= F.lit(c)).cast("int") for c in limits), F.lit(0))
         uses = F.when(F.col("source") == source, drawn).otherwise(uses)
     return listed.select("doc_id", "source", "n_tokens", uses.cast("int").alias("uses"))
 
 
-def mixture(uses: DataFrame, seed: int = 17, shards: int = 64) -> DataFrame:
+def mixture(uses: DataFrame, seed: int = 17, shards: int | None = None, shard_rows: int = 100_000) -> DataFrame:
     """doc_id, copy, source, n_tokens, shard, position: each use of each record, in a global shuffle.
 
     position is a hash of the use: records in the order of position are in random order, and those of one shard are a random share of all.
-    The rows are spread over the shards by hash, so none waits for another.
+    The rows are spread over the shards by hash, so none waits for another; there is one for each ``shard_rows`` uses.
     """
+    if shards is None:
+        shards = max(1, math.ceil((uses.agg(F.sum("uses")).first()[0] or 0) / shard_rows))
     each = uses.where("uses > 0").select("doc_id", F.explode(F.sequence(F.lit(1), "uses")).alias("copy"), "source", "n_tokens")
     position = F.xxhash64(F.lit(seed + 1), "doc_id", "copy")
     shuffled = each.withColumn("position", position).withColumn("shard", F.pmod("position", F.lit(shards)).cast("int"))
-    return shuffled.repartition("shard").sortWithinPartitions("shard", "position").select("doc_id", "copy", "source", "n_tokens", "shard", "position")
+    return shuffled.repartition(shards, "shard").sortWithinPartitions("shard", "position").select("doc_id", "copy", "source", "n_tokens", "shard", "position")
 
 
 def shares(uses: DataFrame, targets: DataFrame) -> DataFrame:

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import base64
 import os
+import re
+from collections.abc import Iterator
 from functools import lru_cache
 
 import pandas as pd
@@ -14,8 +16,10 @@ from pyspark.sql import functions as F
 TOKENIZER = os.environ.get("LEXIVANE_TOKENIZER", "/opt/tokenizers/byte_bpe_multi_50k.tiktoken")
 # Fixed value: the pattern by which the public vocabulary's tokenizer cuts texts before it merges byte pairs.
 PIECES = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: Longer texts are counted in parts of so many characters, so that memory is bounded; all of the text counts.
+#: Longer texts are counted in parts of about so many characters, so that memory is bounded; all of the text counts.
 PART = 100_000
+#: Before white space that follows none, the pattern always begins a new piece, so that a cut there changes no token.
+_BEFORE_SPACE = re.compile(r"(?<=\S)(?=\s)")
 
 
 @lru_cache(maxsize=4)
@@ -32,7 +36,19 @@ def count_tokens(text: str | None, path: str = TOKENIZER) -> int:
     if not text:
         return 0
     encode = encoding(path).encode_ordinary
-    return sum(len(encode(text[k : k + PART])) for k in range(0, len(text), PART))
+    return sum(len(encode(part)) for part in parts(text))
+
+
+def parts(text: str, size: int = PART) -> Iterator[str]:
+    """The text in parts of ``size`` characters or as many more as there are to the next white space."""
+    start = 0
+    while len(text) - start > size:
+        m = _BEFORE_SPACE.search(text, start + size)
+        if not m:
+            break
+        yield text[start : m.start()]
+        start = m.start()
+    yield text[start:]
 
 
 def token_counts(text: Column, path: str = TOKENIZER) -> Column:
