@@ -7,7 +7,7 @@ Total: shares are of the sources that have records. A source whose target is bey
 lacks. Without a given total, the largest is taken at which they rise by no more than ``tolerance`` of themselves.
 
 Mean: sizes are uneven, so the mean number of uses that the target asks for may miss it by far. The uniform numbers are fixed by the hash; so the tokens that any mean
-brings are known from the sizes summed over ``GRID`` steps of the uniform number, and the mean is the one that comes nearest to the target.
+brings are known from the sizes summed over steps of the uniform number, and of ``SEEDS`` hashes and all means those are taken that come nearest to the target.
 """
 
 from __future__ import annotations
@@ -30,7 +30,7 @@ def poisson_table(mean: float, cap: int) -> list[float]:
 
 
 #: Steps of the uniform number over all listed sources together, and at most for each.
-GRID, FINEST = 1 << 20, 1 << 14
+GRID, FINEST, SEEDS = 1 << 20, 1 << 14, 8
 
 
 def drawn_tokens(mean: float, cap: int, tokens: np.ndarray) -> tuple[int, list[float]]:
@@ -40,17 +40,17 @@ def drawn_tokens(mean: float, cap: int, tokens: np.ndarray) -> tuple[int, list[f
     return int(sum(above[k] for k in steps)), [k / len(tokens) for k in steps]
 
 
-def chances_for(goal: float, cap: int, tokens: np.ndarray) -> list[float]:
-    """The chances of at most 0, 1, ... cap - 1 uses of the Poisson mean that brings the number of tokens nearest to ``goal``; of none at all if it brings the cap."""
+def chances_for(goal: float, cap: int, tokens: np.ndarray) -> tuple[int, list[float]]:
+    """The tokens, and the chances of at most 0, 1, ... cap - 1 uses of the Poisson mean that brings the number of tokens nearest to ``goal``; of none at all if it brings the cap."""
     if goal >= cap * int(tokens.sum()):
-        return [0.0] * cap
+        return cap * int(tokens.sum()), [0.0] * cap
     low, high = 0.0, 1.0
     while high < 1e6 and drawn_tokens(high, cap, tokens)[0] < goal:
         high *= 2
     for _ in range(60):
         mid = (low + high) / 2
         low, high = (mid, high) if drawn_tokens(mid, cap, tokens)[0] < goal else (low, mid)
-    return min((drawn_tokens(m, cap, tokens) for m in (low, high)), key=lambda x: abs(x[0] - goal))[1]
+    return min((drawn_tokens(m, cap, tokens) for m in (low, high)), key=lambda x: abs(x[0] - goal))
 
 
 def largest_total(sources: list[tuple[float, int]], tolerance: float) -> float:
@@ -62,15 +62,21 @@ def largest_total(sources: list[tuple[float, int]], tolerance: float) -> float:
     return low
 
 
-def plan(tokens: dict[str, np.ndarray], goals: list[tuple[str, float, int]], total: float | None = None, tolerance: float = 0.05) -> dict[str, list[float]]:
-    """source -> chances, of (source, share, cap) and the tokens in each step of the uniform number of the sources that have any."""
-    held = [(s, share, cap) for s, share, cap in goals if s in tokens and int(tokens[s].sum()) > 0]
+def plan(tokens: dict[str, np.ndarray], goals: list[tuple[str, float, int]], total: float | None = None, tolerance: float = 0.05) -> dict[str, tuple[int, list[float]]]:
+    """source -> hash and chances, of (source, share, cap) and the tokens by hash and step of the uniform number of the sources that have any."""
+    held = [(s, share, cap) for s, share, cap in goals if s in tokens and int(tokens[s][0].sum()) > 0]
     whole = sum(share for _, share, _ in held)
     if total is None:
         # What absent sources lack raises the others too; a fifth of the tolerance is left for the caps in any case.
         tolerance = max(tolerance / 5, (1 + tolerance) * whole / sum(share for _, share, _ in goals) - 1)
-        total = largest_total([(share / whole, cap * int(tokens[s].sum())) for s, share, cap in held], tolerance)
-    return {s: chances_for(share / whole * total, cap, tokens[s]) for s, share, cap in held}
+        total = largest_total([(share / whole, cap * int(tokens[s][0].sum())) for s, share, cap in held], tolerance)
+    out = {}
+    for s, share, cap in held:
+        goal = share / whole * total
+        drawn = [chances_for(goal, cap, t) for t in tokens[s]]
+        best = min(range(len(drawn)), key=lambda k: (abs(drawn[k][0] - goal), k))
+        out[s] = (best, drawn[best][1])
+    return out
 
 
 def uniform(seed: int, *columns: str) -> Column:
@@ -90,16 +96,17 @@ def record_uses(sized: DataFrame, targets: DataFrame, seed: int = 17, total: flo
     if not goals:
         return sized.where(F.lit(False)).select("doc_id", "source", "n_tokens", F.lit(0).alias("uses"))
     listed = sized.where(F.col("source").isin([g[0] for g in goals]) & (F.col("n_tokens") > 0))
-    steps = max(1, min(FINEST, 1 << (GRID // len(goals)).bit_length() - 1)) if len(goals) <= GRID else 1
-    u = uniform(seed, "doc_id")
-    sums = listed.groupBy("source", F.floor(u * steps).cast("int").alias("k")).agg(F.sum("n_tokens").alias("n"))
+    steps = max(1, min(FINEST, 1 << (GRID // SEEDS // len(goals)).bit_length() - 1)) if SEEDS * len(goals) <= GRID else 1
+    us = [uniform(seed + k, "doc_id") for k in range(SEEDS)]
+    each = listed.select("source", "n_tokens", F.posexplode(F.array(*us)).alias("hash", "u"))
+    sums = each.groupBy("source", "hash", F.floor(F.col("u") * steps).cast("int").alias("k")).agg(F.sum("n_tokens").alias("n"))
     tokens: dict[str, np.ndarray] = {}
     for r in sums.toLocalIterator():
-        tokens.setdefault(r["source"], np.zeros(steps, np.int64))[r["k"]] = r["n"]
+        tokens.setdefault(r["source"], np.zeros((SEEDS, steps), np.int64))[r["hash"], r["k"]] = r["n"]
     chances = plan(tokens, goals, total, tolerance)
     uses = F.lit(0)
-    for source, limits in sorted(chances.items()):
-        drawn = sum(((u >= F.lit(c)).cast("int") for c in limits), F.lit(0))
+    for source, (k, limits) in sorted(chances.items()):
+        drawn = sum(((us[k] >= F.lit(c)).cast("int") for c in limits), F.lit(0))
         uses = F.when(F.col("source") == source, drawn).otherwise(uses)
     return listed.select("doc_id", "source", "n_tokens", uses.cast("int").alias("uses"))
 

@@ -188,11 +188,11 @@ def test_poisson():
     tokens = rng.pareto(1.2, 1024).astype(np.int64) * 10 + 1
     for goal, cap in ((0.3, 1), (1.0, 3), (2.5, 4), (0.01, 8)):
         wanted = goal * tokens.sum()
-        chances = mixing.chances_for(wanted, cap, tokens)
+        told, chances = mixing.chances_for(wanted, cap, tokens)
         u = np.arange(1024) / 1024
         got = sum(int(tokens[u >= c].sum()) for c in chances)
-        assert abs(got - wanted) <= tokens.max() and len(chances) == cap and chances == sorted(chances)
-    assert mixing.chances_for(3.0 * tokens.sum(), 3, tokens) == [0.0] * 3
+        assert got == told and abs(got - wanted) <= tokens.max() and len(chances) == cap and chances == sorted(chances)
+    assert mixing.chances_for(3.0 * tokens.sum(), 3, tokens)[1] == [0.0] * 3
     assert mixing.largest_total([(0.5, 100), (0.5, 100)], 0.05) == pytest.approx(200 * 1.05)
     assert mixing.largest_total([(0.9, 10**6), (0.1, 10)], 0.05) == pytest.approx(10 / (1 / 1.05 - 0.9))
 
@@ -200,12 +200,12 @@ def test_poisson():
 @pytest.mark.parametrize("total", [None, 44100.0])
 def test_mixture(spark, total):
     rng = random.Random(5)
-    rows = [(k, "big", int(10 * rng.paretovariate(1.5))) for k in range(4000)] + [(10_000 + k, "small", 10) for k in range(400)] + [(20_000 + k, "tiny", 10) for k in range(10)] + [(30_000, "other", 10), (30_001, None, 10), (30_002, "big", 0)]
+    rows = [(k, "big", int(10 * rng.paretovariate(1.5))) for k in range(4000)] + [(10_000 + k, "small", 10) for k in range(400)] + [(20_000 + k, "tiny", 10) for k in range(100)] + [(30_000, "other", 10), (30_001, None, 10), (30_002, "big", 0)]
     sized = spark.createDataFrame(rows, "doc_id long, source string, n_tokens long")
     targets = spark.createDataFrame([("big", 0.6, 1, 0), ("small", 0.2, 4, 0), ("tiny", 0.1, 3, 0), ("absent", 0.1, 2, 0), (None, 0.1, 1, 0)], "source string, target_share double, max_repeats int, tokens int")
     uses = mixing.record_uses(sized, targets, total=total)
     got = {r["source"]: r for r in mixing.shares(uses, targets).collect()}
-    assert got["tiny"]["tokens"] == 300 and got["tiny"]["most_uses"] == 3 and got["absent"]["tokens"] == 0 and got["big"]["most_uses"] == 1
+    assert got["tiny"]["tokens"] == 3000 and got["tiny"]["most_uses"] == 3 and got["absent"]["tokens"] == 0 and got["big"]["most_uses"] == 1
     of = {s: got[s]["tokens"] for s in ("big", "small")}
     assert of["big"] == pytest.approx(3 * of["small"], rel=0.02)
     if total is None:  # shares of the sources that have records; tiny falls short by no more than raises the others by five percent
