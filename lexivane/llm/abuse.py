@@ -9,8 +9,8 @@ a document's is that of its worst sentence, so that one insult in a long text co
 Labels are of documents, and in an abusive one most sentences are ordinary. So the abusive model is refined in
 rounds: each keeps, of the abusive documents, the sentences that models fitted on other documents find more abusive than held-out
 ordinary ones, and fits again. A document with verdicts of both kinds counts by the majority, and not at all if they are even. The
-threshold is the one with the best F1 on held-out labels, each fold scored by models fitted without it, of those that reach
-``least_precision`` there, and not below 0, where both models are as likely.
+threshold is the one with the best F1 on held-out labels, each fold scored by models fitted without it, counted for less as its precision there
+is below ``least_precision``; with less than a hundred abusive documents it is raised by degrees. It is not below 0, where both models are as likely.
 
 Bound: the models are fitted on at most ``most_labels`` labelled documents, those with the least hash of the id; every document is scored.
 """
@@ -246,13 +246,13 @@ class Models:
         return self._mean(p, grams, extra)
 
 
-def _refined(grams: Indexed, of: np.ndarray, abusive: np.ndarray, ordinary: np.ndarray, size: int, rounds: int, extra: float, share: float) -> tuple[Models, bool]:
+def _refined(grams: Indexed, of: np.ndarray, abusive: np.ndarray, ordinary: np.ndarray, size: int, rounds: int, extra: float, share: float) -> Models:
     """Models of which the abusive one holds those sentences of the abusive documents that stand out.
 
     ``abusive`` and ``ordinary`` tell the sentences of the documents of either verdict. Each document's are judged by models that
     have not seen it: an abusive expression recurs in other abusive documents, while an ordinary sentence, as all of a wrongly
     marked document's, is told from the others by nothing. Sentences of ordinary documents that stand out in the last round are left out.
-    Also tells whether any sentence stood out; too few abusive documents have none in common.
+    Where none stands out, as too few abusive documents have nothing in common, those of the round before stay.
     """
     half = of % 2 == 0
     chosen, usual = abusive.copy(), ordinary.copy()
@@ -265,9 +265,9 @@ def _refined(grams: Indexed, of: np.ndarray, abusive: np.ndarray, ordinary: np.n
             new |= abusive & ~h & (x > cut)
             odd |= held & (x > cut)
         if not new.any():
-            return Models(grams, chosen, usual, size), False
+            break
         chosen, usual = new, ordinary & ~odd
-    return Models(grams, chosen, usual, size), True
+    return Models(grams, chosen, usual, size)
 
 
 def _verdicts(labels: list[tuple[int, int]]) -> dict[int, int]:
@@ -284,7 +284,7 @@ def _worst(scores: np.ndarray, of: np.ndarray, n: int) -> np.ndarray:
 
 
 def train(texts: dict[int, str], labels: list[tuple[int, int]], order: int = 4, rounds: int = 3, folds: int = 3, extra: float = 4.0, share: float = 0.001, least: int = 2, least_precision: float = 0.5) -> tuple[Numbers, Models, float]:
-    """The models, and the threshold with the best F1 over held-out folds; if there is no abusive label, or nothing that abusive documents have in common, an infinite one."""
+    """The models, and the threshold with the best F1 over held-out folds; if there is no abusive label, an infinite one."""
     verdict = {d: v for d, v in _verdicts(labels).items() if texts.get(d)}
     ids = sorted(verdict, key=lambda d: (xxhash.xxh3_64_intdigest(str(d)), d))
     docs = [sentences(texts[d]) for d in ids]
@@ -300,19 +300,20 @@ def train(texts: dict[int, str], labels: list[tuple[int, int]], order: int = 4,
     worst = np.full(len(ids), -math.inf)
     for f in range(folds):
         seen = (fold != f)[of]
-        m, _ = _refined(grams, of, bad & seen, ~bad & seen, numbers.size, rounds, extra, share)
+        m = _refined(grams, of, bad & seen, ~bad & seen, numbers.size, rounds, extra, share)
         worst = np.where(fold == f, _worst(m.inside(grams, extra), of, len(ids)), worst)
     order_ = np.argsort(-worst, kind="stable")
     hits = np.cumsum(truth[order_])
     f1 = 2 * hits / (np.arange(1, len(ids) + 1) + truth.sum())
     precision = hits / np.arange(1, len(ids) + 1)
-    good = precision >= least_precision
-    best = int((f1 * good).argmax()) if good.any() else int(precision.argmax())
+    # Below the least precision a threshold counts for less, in proportion.
+    best = int((f1 * np.minimum(1.0, precision / least_precision)).argmax())
     here = worst[order_[best]]
     after = worst[order_[best + 1]] if best + 1 < len(ids) else here - 1
-    models, told = _refined(grams, of, bad, ~bad, numbers.size, rounds, extra, share)
-    threshold = max(0.0, float((here + max(after, here - 1)) / 2)) if told else math.inf
-    return numbers, models.exported(grams), threshold
+    models = _refined(grams, of, bad, ~bad, numbers.size, rounds, extra, share)
+    # Of few abusive documents the fit and the threshold are unsure, and what is found should be the surest: a margin that falls to nothing at a hundred.
+    unsure = max(0.0, 4 / math.sqrt(truth.sum()) - 0.4)
+    return numbers, models.exported(grams), max(0.0, float((here + max(after, here - 1)) / 2)) + unsure
 
 
 def abuse_scores(documents: DataFrame, labels: DataFrame, most_labels: int = 20_000, extra: float = 4.0) -> DataFrame:

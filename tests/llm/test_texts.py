@@ -254,6 +254,18 @@ def test_abuse_on_held_out_documents(spark):
     assert rates == {"forum": 453, None: 451}
 
 
+@pytest.mark.parametrize("labelled", [60, 150, 400])
+def test_abuse_threshold_degrades_by_degrees(labelled):
+    """With few labels less is found, but something, and most of it rightly."""
+    rows = comments(900, 11)
+    numbers, model, threshold = abuse.train({k: t for k, t, _, _ in rows}, [(k, y) for k, _, _, y in rows[:labelled]])
+    row, lengths, of = numbers.flat([abuse.sentences(t) for _, t, _, _ in rows], 4)
+    found = abuse._worst(model.scores(abuse.Grams(row, lengths, 4), 4.0), of, len(rows)) >= threshold
+    truth = [y == 1 for *_, y in rows]
+    hits = sum(1 for f, y in zip(found[labelled:], truth[labelled:], strict=True) if f and y)
+    assert threshold < 9 and hits >= 0.8 * sum(found[labelled:]) and hits >= (0.2 if labelled < 100 else 0.8) * sum(truth[labelled:])
+
+
 def test_abuse_without_labels_or_documents(spark):
     docs = spark.createDataFrame([(1, "fine words here")], "doc_id long, text string")
     none = spark.createDataFrame([], "doc_id long, abusive int")
