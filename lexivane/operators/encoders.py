@@ -44,8 +44,8 @@ class HashingEncoder:
 class OnnxEncoder:
     """A sentence model: token ids, mean of the vectors of real tokens, length one. The file is loaded once in each worker."""
 
-    def __init__(self, path: str, tokenizer: WordPiece, dim: int = 768, length: int = 512):
-        self.path, self.tokenizer, self.dim, self.length = path, tokenizer, dim, length
+    def __init__(self, path: str, tokenizer: WordPiece, dim: int = 768, length: int = 512, batch: int = 32):
+        self.path, self.tokenizer, self.dim, self.length, self.batch = path, tokenizer, dim, length, batch
         self._session = None
 
     def __getstate__(self) -> dict:
@@ -58,12 +58,18 @@ class OnnxEncoder:
             options = ort.SessionOptions()
             options.intra_op_num_threads = 1  # one thread for each task
             self._session = ort.InferenceSession(self.path, options)
-        out = []
-        for text in texts:
-            ids, mask, kinds = (np.array([x], np.int64) for x in padded(self.tokenizer.ids(text, self.length), self.length))
+        every = [self.tokenizer.ids(t, self.length) for t in texts]
+        out = np.empty((len(texts), self.dim))
+        # Texts of like length share a batch, padded to its longest.
+        order = sorted(range(len(every)), key=lambda k: len(every[k]))
+        for start in range(0, len(order), self.batch):
+            part = order[start : start + self.batch]
+            longest = max(len(every[k]) for k in part)
+            ids, mask, kinds = (np.array(x, np.int64) for x in zip(*(padded(every[k], longest) for k in part), strict=True))
             hidden = self._session.run(None, {"input_ids": ids, "attention_mask": mask, "token_type_ids": kinds})[0]
-            out.append(pooled(hidden[0], int(mask.sum())))
-        return np.stack(out) if out else np.empty((0, self.dim))
+            for k, h, m in zip(part, hidden, mask, strict=True):
+                out[k] = pooled(h, int(m.sum()))
+        return out
 
 
 def unit(x: np.ndarray) -> np.ndarray:

@@ -22,7 +22,7 @@ def choose_k(n: int) -> int:
 
 
 def assigned(vectors: DataFrame, centroids: DataFrame, key: str = "id", vector: str = "embedding") -> DataFrame:
-    """key, cluster_id, distance: the nearest centroid of each vector, ties to the smaller number. Null vectors have no row.
+    """key, cluster_id, distance (nine digits): the nearest centroid of each vector, ties to the smaller number. Null vectors, and those that are no numbers, have no row.
 
     The centroids, of which there are 4 sqrt(rows), reach the tasks as one matrix; no vector is shuffled.
     """
@@ -39,12 +39,14 @@ def assigned(vectors: DataFrame, centroids: DataFrame, key: str = "id", vector:
                 part = fits.iloc[start : start + 1000]
                 x = np.stack([np.asarray(v, np.float64) for v in part["v"]])
                 rough = (x * x).sum(1)[:, None] - 2 * x @ matrix.T + (matrix * matrix).sum(1)
-                # Exact distances of the few that the rounding of the product may have mixed up.
-                best, dist = np.empty(len(x), np.int64), np.empty(len(x))
-                for i, r in enumerate(rough):
-                    near = np.flatnonzero(r <= r.min() + 1e-9 * (1 + abs(r.min())))
-                    exact = ((x[i] - matrix[near]) ** 2).sum(1) if len(near) else np.array([np.nan])
-                    best[i], dist[i] = numbers[near[exact.argmin()]] if len(near) else -1, exact.min()
+                # Distances in nine digits, exact for all that the rounding of the product may have mixed up; ties to the smaller number.
+                least = rough.min(1, keepdims=True)
+                row, near = np.nonzero(rough <= least + 1e-8 * (1 + np.abs(least)))
+                exact = np.round(((x[row] - matrix[near]) ** 2).sum(1), 9)
+                order = np.lexsort((numbers[near], exact, row))
+                met, first = np.unique(row[order], return_index=True)
+                best, dist = np.full(len(x), -1), np.full(len(x), np.nan)
+                best[met], dist[met] = numbers[near[order[first]]], exact[order[first]]
                 yield pd.DataFrame({"key": part["key"].to_numpy(), "cluster_id": best.astype(np.int32), "distance": dist})
 
     if not len(rows):

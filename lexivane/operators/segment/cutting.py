@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
+from itertools import pairwise
+
+import numpy as np
 
 from lexivane.operators.segment.lexicon import NEVER, Chain, Lexicon
 
@@ -52,67 +56,35 @@ def cut_by_lexicon(lexicon: Lexicon, text: str, most: int = 1 << 30) -> list[str
     return out
 
 
-def _states(chain: Chain, text: str) -> list[int]:
-    weight = [chain.start[y] + chain.emit[y].get(text[0], NEVER) for y in range(4)]
-    came = []
-    for c in text[1:]:
-        now, path = [], []
-        for y in range(4):
-            emit = chain.emit[y].get(c, NEVER)
-            top, before = NEVER, 1
-            for z in range(4):
-                value = weight[z] + chain.trans[z][y] + emit
-                if value > top:
-                    top, before = value, z
-            now.append(top)
-            path.append(before)
-        weight = now
-        came.append(path)
-    state = 1 if weight[1] >= weight[3] else 3
-    out = [state]
-    for path in reversed(came):
-        state = path[state]
-        out.append(state)
-    return out[::-1]
-
-
-def _by_states(chain: Chain, text: str) -> list[str]:
-    out, left = [], 0
-    for k, state in enumerate(_states(chain, text)):
-        if state in (1, 3):
-            out.append(text[left : k + 1])
-            left = k + 1
-    return out
-
-
-def _letter(c: str) -> bool:
-    return "a" <= c <= "z" or "A" <= c <= "Z"
+#: Runs beyond ASCII; a letter with the letters and digits after it; a digit with the digits and dots after it; any other sign by itself.
+_RUN = re.compile(r"[^\x00-\x7f]+|[A-Za-z][A-Za-z0-9]*|[0-9][0-9.]*|[\x00-\x7f]")
 
 
-def _digit(c: str) -> bool:
-    return "0" <= c <= "9"
+def _likeliest(chain: Chain, text: str) -> np.ndarray:
+    """The states of the likeliest path that ends a word, by the largest sums up to each character; what never happens comes from the end state."""
+    emitted = np.array([[e.get(c, NEVER) for e in chain.emit] for c in text])
+    sums, came = np.asarray(chain.start) + emitted[0], np.ones((len(text), 4), np.int64)
+    for k in range(1, len(text)):
+        paths = sums[:, None] + np.asarray(chain.trans) + emitted[k]
+        possible = paths.max(0) > NEVER
+        came[k][possible] = paths.argmax(0)[possible]
+        sums = np.where(possible, paths.max(0), NEVER)
+    out = np.empty(len(text), np.int64)
+    out[-1] = 1 if sums[1] >= sums[3] else 3
+    for k in range(len(text) - 1, 0, -1):
+        out[k - 1] = came[k][out[k]]
+    return out
 
 
 def cut_by_chain(chain: Chain, text: str) -> list[str]:
     """Runs beyond ASCII by the likeliest states; a run of letters and digits that starts with a letter, and one of digits and dots, are words."""
-    out, left, i, n = [], 0, 0, len(text)
-    while i < n:
-        if ord(text[i]) >= 0x80:
-            i += 1
-            continue
-        if left < i:
-            out += _by_states(chain, text[left:i])
-        left, i = i, i + 1
-        if _letter(text[left]):
-            while i < n and (_letter(text[i]) or _digit(text[i])):
-                i += 1
-        elif _digit(text[left]):
-            while i < n and (_digit(text[i]) or text[i] == "."):
-                i += 1
-        out.append(text[left:i])
-        left = i
-    if left < n:
-        out += _by_states(chain, text[left:])
+    out = []
+    for run in _RUN.findall(text):
+        if run.isascii():
+            out.append(run)
+        else:  # a word ends in the states end and single
+            ends = np.flatnonzero(_likeliest(chain, run) % 2 == 1) + 1
+            out += [run[x:y] for x, y in pairwise([0, *ends.tolist()])]
     return out
 
 
@@ -160,14 +132,10 @@ def tag(lexicon: Lexicon, word: str) -> str:
     known = lexicon.words.get(word)
     if known and known[1]:
         return known[1]
-    seen = digits = 0
-    for c in word:
-        if seen >= len(word) // 2:
-            break
-        if ord(c) < 0x80:
-            seen += 1
-            digits += _digit(c)
-    return TAG_OTHER if not seen else TAG_NUMBER if digits == seen else TAG_LATIN
+    ascii_ = [c for c in word if c.isascii()][: len(word) // 2]
+    if not ascii_:
+        return TAG_OTHER
+    return TAG_NUMBER if all(c.isdigit() for c in ascii_) else TAG_LATIN
 
 
 @dataclass

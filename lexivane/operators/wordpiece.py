@@ -100,8 +100,12 @@ def padded(ids: list[int], length: int) -> tuple[list[int], list[int], list[int]
 
 
 def token_ids(text: Column, tokenizer: WordPiece, most: int | None = 512) -> Column:
+    from pyspark.sql import SparkSession
+
+    shared = SparkSession.active().sparkContext.broadcast(tokenizer)
+
     @F.pandas_udf("array<int>")
     def run(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: None if t is None else tokenizer.ids(t, most))
+        return texts.map(lambda t: None if t is None else shared.value.ids(t, most))
 
     return run(text)

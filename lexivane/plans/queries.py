@@ -165,10 +165,11 @@ def squared_distances(spark, folder):
     return table(spark, folder, "embeddings").select("vec_id", F.round(V.squared_distance(F.col("embedding"), q), 6).alias("distance"))
 
 
-@query("SELECT id, len(embedding) AS n FROM docs WHERE embedding IS NOT NULL")
+@query("""SELECT id, p - 1 AS pos, round(embedding[p]::DOUBLE, 6) AS x FROM docs, (SELECT unnest(range(1, 65)) AS p)
+WHERE p <= len(embedding) AND len(list_filter(embedding, lambda x: isnan(x))) = 0""")
 def vector_bytes(spark, folder):
-    docs = table(spark, folder, "docs").where("embedding is not null").select("id", V.to_bytes(F.col("embedding")).alias("b"))
-    return docs.select("id", F.size(V.from_bytes(F.col("b"))).alias("n"))
+    docs = table(spark, folder, "docs").where(F.col("embedding").isNotNull() & V.finite(F.col("embedding"))).select("id", V.to_bytes(F.col("embedding")).alias("b"))
+    return docs.select("id", F.posexplode(V.from_bytes(F.col("b"))).alias("pos", "x")).withColumn("x", F.round(F.col("x").cast("double"), 6))
 
 
 @query()
@@ -255,15 +256,14 @@ def title_words(spark, folder):
     return table(spark, folder, "docs").select("id", F.posexplode(X.title_words(F.col("title"))).alias("pos", "word"))
 
 
-@query("SELECT item_id, levenshtein(encode(i.title)::VARCHAR, encode(c.title)::VARCHAR) AS distance FROM (SELECT item_id, channel_id, left(title, 12) AS title FROM item WHERE regexp_matches(title, '^[\\x20-\\x7e]*$')) i JOIN channel c USING (channel_id) WHERE regexp_matches(c.title, '^[\\x20-\\x7e]*$')")
+@query("SELECT item_id, levenshtein(i.title, c.title) AS distance FROM item i JOIN channel c USING (channel_id)")
 def byte_distances(spark, folder):
-    ascii_only = "^[\\x20-\\x7e]*$"
-    i = table(spark, folder, "item").where(F.col("title").rlike(ascii_only)).select("item_id", "channel_id", F.substring("title", 1, 12).alias("t"))
-    c = table(spark, folder, "channel").where(F.col("title").rlike(ascii_only)).select("channel_id", F.col("title").alias("u"))
+    i = table(spark, folder, "item").select("item_id", "channel_id", F.col("title").alias("t"))
+    c = table(spark, folder, "channel").select("channel_id", F.col("title").alias("u"))
     return i.join(c, "channel_id").select("item_id", X.byte_distance(F.col("t"), F.col("u")).alias("distance"))
 
 
-_CJK = "([\\x{4E00}-\\x{9FFF}\\x{3400}-\\x{4DBF}\\x{20000}-\\x{2A6DF}\\x{2A700}-\\x{2B73F}\\x{2B740}-\\x{2B81F}\\x{2B820}-\\x{2CEAF}\\x{F900}-\\x{FAFF}\\x{2F800}-\\x{2FA1F}])"
+_CJK = f"([{X.CJK}])"
 
 
 @query(f"SELECT id, array_to_string(list_filter(regexp_split_to_array(regexp_replace(title, '{_CJK}', ' \\1 ', 'g'), '[ \\t\\n\\x0B\\f\\r]+'), lambda x: x <> ''), '|') AS tokens FROM docs")

@@ -28,10 +28,15 @@ def local_session(cores: str = "8", app: str = "lexivane") -> SparkSession:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``; a temporary one only where it is unset."""
+    """The folder all executors share: ``spark.checkpoint.dir``; a temporary one where it is unset and the session runs on one machine.
+
+    RuntimeError on a cluster without that setting.
+    """
     sc = spark.sparkContext
     folder = sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if folder is None:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="lexivane-")
         atexit.register(shutil.rmtree, folder, True)
         sc.setCheckpointDir(folder)

@@ -46,35 +46,47 @@ def documents(items: DataFrame) -> DataFrame:
     return kept.select(F.coalesce("title", F.lit("")).alias("title"), F.coalesce("link", F.lit("")).alias("url"), strip_html(F.col("body")).alias("content"), *[c for c in ("pubDate", "author", "file") if c in items.columns])
 
 
-def read_rss(spark: SparkSession, path: str, source: str) -> DataFrame:
-    """title, link, pubDate, author, description as a crawler keeps them: a missing description is the title as a paragraph, a missing author the source."""
-    rows = read_items(spark, path)
+def _paragraph(text: Column) -> Column:
+    """The text as an HTML paragraph, its signs escaped."""
+    for sign, name in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;")):
+        text = F.replace(text, F.lit(sign), F.lit(name))
+    return F.concat(F.lit("<p>"), text, F.lit("</p>"))
+
+
+def _crawled(rows: DataFrame, now: str | None, link: Column, date: Column, author: Column, *bodies: Column) -> DataFrame:
+    """title, link, pubDate, author, description as a crawler keeps them: dates as yyyy-MM-dd HH:mm:ss, ``now`` (else the time of the run) where there is none that can be
+    read; a missing description is the title as a paragraph. Items with neither title nor link are left out."""
     title = _filled(F.col("title"))
-    return rows.select(title.alias("title"), _filled(F.col("link")).alias("link"), _filled(F.col("pubDate")).alias("pubDate"), _filled(F.col("author"), F.lit(source)).alias("author"), _filled(F.col("description"), F.concat(F.lit("<p>"), title, F.lit("</p>"))).alias("description")).where("title != '' or link != ''")
+    fallback = F.to_timestamp(F.lit(now)) if now else F.current_timestamp()
+    kept = rows.select(title.alias("title"), link.alias("link"), F.date_format(feed_time(date, fallback), "yyyy-MM-dd HH:mm:ss").alias("pubDate"), author.alias("author"), _filled(*bodies, _paragraph(title)).alias("description"))
+    return kept.where("title != '' or link != ''")
+
+
+def read_rss(spark: SparkSession, path: str, source: str, now: str | None = None) -> DataFrame:
+    """Items of RSS files as ``_crawled`` has them; a missing author is the source."""
+    return _crawled(read_items(spark, path), now, _filled(F.col("link")), F.col("pubDate"), _filled(F.col("author"), F.lit(source)), F.col("description"))
 
 
-def read_atom(spark: SparkSession, path: str, source: str) -> DataFrame:
+def read_atom(spark: SparkSession, path: str, source: str, now: str | None = None) -> DataFrame:
     """The same of Atom entries: the first link's address, published else updated, content else summary."""
     rows = spark.read.format("xml").option("rowTag", "entry").schema(ENTRY).load(path)
-    title = _filled(F.col("title"))
-    return rows.select(title.alias("title"), _filled(F.get("link", F.lit(0))["_href"]).alias("link"), _filled(F.col("published"), F.col("updated")).alias("pubDate"), _filled(F.col("author.name"), F.lit(source)).alias("author"), _filled(F.col("content"), F.col("summary"), F.concat(F.lit("<p>"), title, F.lit("</p>"))).alias("description")).where("title != '' or link != ''")
+    return _crawled(rows, now, _filled(F.get("link", F.lit(0))["_href"]), _filled(F.col("published"), F.col("updated")), _filled(F.col("author.name"), F.lit(source)), F.col("content"), F.col("summary"))
 
 
-def read_dublin_core(spark: SparkSession, path: str, source: str) -> DataFrame:
+def read_dublin_core(spark: SparkSession, path: str, source: str, now: str | None = None) -> DataFrame:
     """The same of RSS items whose date may be in dc:date and whose author may be in dc:creator."""
     schema = _fields("title", "link", "pubDate", "author", "description", "dc:date", "dc:creator")
     rows = spark.read.format("xml").option("rowTag", "item").schema(schema).load(path)
-    title = _filled(F.col("title"))
-    return rows.select(title.alias("title"), _filled(F.col("link")).alias("link"), _filled(F.col("pubDate"), F.col("`dc:date`")).alias("pubDate"), _filled(F.col("author"), F.col("`dc:creator`"), F.lit(source)).alias("author"), _filled(F.col("description"), F.concat(F.lit("<p>"), title, F.lit("</p>"))).alias("description")).where("title != '' or link != ''")
+    return _crawled(rows, now, _filled(F.col("link")), _filled(F.col("pubDate"), F.col("`dc:date`")), _filled(F.col("author"), F.col("`dc:creator`"), F.lit(source)), F.col("description"))
 
 
-def read_pages(spark: SparkSession, path: str) -> DataFrame:
-    """The same of landed pages of a news interface: ``url`` else ``wapurl``; times in epoch seconds become wall-clock strings at +08:00."""
+def read_pages(spark: SparkSession, path: str, source: str = "", now: str | None = None) -> DataFrame:
+    """The same of landed pages of a news interface: ``url`` else ``wapurl``; ``intime`` else ``ctime``, in epoch seconds, at +08:00, neither if zero; the description is
+    the summary, the introduction or the title as a paragraph; the author is the author, the medium or the source."""
     rows = spark.read.schema(PAGE).option("multiLine", "true").json(path).select(F.explode("result.data").alias("d")).select("d.*")
-    seconds = F.coalesce(*[F.expr(f"try_cast({c} as bigint)") for c in ("intime", "ctime")])
-    title = _filled(F.col("title"))
-    text = _filled(F.col("summary"), F.col("intro"), F.concat(F.lit("<p>"), title, F.lit("</p>")))
-    return rows.select(title.alias("title"), _filled(F.col("url"), F.col("wapurl")).alias("link"), F.coalesce(epoch_time(seconds), F.lit("")).alias("pubDate"), _filled(F.col("author"), F.col("media_name")).alias("author"), text.alias("description")).where("title != '' or link != ''")
+    seconds = F.coalesce(*[F.nullif(F.expr(f"try_cast({c} as bigint)"), F.lit(0)) for c in ("intime", "ctime")])
+    text = _paragraph(_filled(F.col("summary"), F.col("intro"), F.col("title")))
+    return _crawled(rows, now, _filled(F.col("url"), F.col("wapurl")), epoch_time(seconds), _filled(F.col("author"), F.col("media_name"), F.lit(source)), text)
 
 
 def dated(items: DataFrame, now: str, column: str = "pubDate") -> DataFrame:
@@ -82,7 +94,13 @@ def dated(items: DataFrame, now: str, column: str = "pubDate") -> DataFrame:
     return items.withColumn("published", feed_time(F.col(column), F.to_timestamp(F.lit(now))))
 
 
-def write_rss(items: DataFrame, path: str, per_file: int = 500) -> None:
-    """RSS files of at most ``per_file`` items each; texts are escaped."""
+def write_rss(items: DataFrame, path: str, per_file: int = 500, head: dict[str, str] | None = None) -> None:
+    """RSS files, each ``rss`` with a ``channel`` of at most ``per_file`` items behind its ``head`` (title, link, description, ...); texts are escaped."""
     columns = [c for c in ("title", "link", "pubDate", "author", "description", "content", "guid") if c in items.columns]
-    items.select(*columns).write.format("xml").option("rootTag", "channel").option("rowTag", "item").option("maxRecordsPerFile", per_file).mode("overwrite").save(path)
+    # Rows are numbered within their partition, so that a file has items of one partition and nothing waits for all.
+    row = F.monotonically_increasing_id()
+    part, number = F.shiftright(row, 33), F.floor(row.bitwiseAND(F.lit((1 << 33) - 1)) / per_file)
+    each = items.select(part.alias("part"), number.alias("number"), F.struct(*columns).alias("item"))
+    files = each.groupBy("part", "number").agg(F.collect_list("item").alias("item"))  # per_file items at most
+    channel = files.select(*[F.lit(v).alias(k) for k, v in (head or {}).items()], "item")
+    channel.write.format("xml").option("rootTag", "rss").option("rowTag", "channel").option("maxRecordsPerFile", 1).mode("overwrite").save(path)

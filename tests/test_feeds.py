@@ -1,4 +1,5 @@
 import json
+from xml.etree import ElementTree
 
 import pytest
 from pyspark.sql import functions as F
@@ -17,13 +18,16 @@ ATOM = """<feed xmlns="http://www.w3.org/2005/Atom"><entry><title>E1</title><lin
 DC = """<rdf><item><title>D</title><link>http://c/1</link><dc:date xmlns:dc="d">2026-03-04T05:06:07+08:00</dc:date><dc:creator xmlns:dc="d">W</dc:creator></item></rdf>"""
 
 
+NOW = "2026-05-06 07:08:09"
+
+
 @pytest.fixture
 def folder(tmp_path):
     for name, text in (("rss", RSS), ("atom", ATOM), ("dc", DC)):
         (tmp_path / name).mkdir()
         (tmp_path / name / "x.xml").write_text(text)
     (tmp_path / "json").mkdir()
-    page = {"result": {"total": 2, "data": [{"title": "J", "wapurl": "http://d/1", "ctime": "0", "media_name": "M"}, {"title": "", "url": ""}]}}
+    page = {"result": {"total": 4, "data": [{"title": "J", "wapurl": "http://d/1", "ctime": "0", "media_name": "M"}, {"title": "", "url": ""}, {"title": "K & L", "url": "http://d/2", "intime": "1767225600", "ctime": "9", "summary": "a <b> c"}, {"title": "M <x>", "url": "http://d/3", "intime": "0", "ctime": "86400"}]}}
     (tmp_path / "json" / "1.json").write_text(json.dumps(page))
     return tmp_path
 
@@ -36,20 +40,23 @@ def test_items_and_documents(spark, folder):
 
 
 def test_crawled_feeds(spark, folder):
-    rss = feeds.read_rss(spark, f"{folder}/rss", "src").orderBy("link").collect()
-    assert [tuple(r) for r in rss][2] == ("Third", "http://a/3", "", "src", "<p>Third</p>") and rss[0]["title"] == "First"
-    atom = feeds.read_atom(spark, f"{folder}/atom", "src").orderBy("link").collect()
-    assert [tuple(r) for r in atom] == [("E1", "http://b/1", "2026-02-03T04:05:06Z", "N", "s"), ("E2", "http://b/2", "2026-02-04T04:05:06Z", "src", "c")]
-    assert tuple(feeds.read_dublin_core(spark, f"{folder}/dc", "src").first()) == ("D", "http://c/1", "2026-03-04T05:06:07+08:00", "W", "<p>D</p>")
-    assert tuple(feeds.read_pages(spark, f"{folder}/json").first()) == ("J", "http://d/1", "1970-01-01 08:00:00", "M", "<p>J</p>")
-    assert feeds.read_pages(spark, f"{folder}/json").count() == 1
+    rss = feeds.read_rss(spark, f"{folder}/rss", "src", NOW).orderBy("link").collect()
+    assert [tuple(r) for r in rss][2] == ("Third", "http://a/3", NOW, "src", "<p>Third</p>") and rss[0]["title"] == "First"
+    atom = feeds.read_atom(spark, f"{folder}/atom", "src", NOW).orderBy("link").collect()
+    assert [tuple(r) for r in atom] == [("E1", "http://b/1", "2026-02-03 04:05:06", "N", "s"), ("E2", "http://b/2", "2026-02-04 04:05:06", "src", "c")]
+    assert tuple(feeds.read_dublin_core(spark, f"{folder}/dc", "src", NOW).first()) == ("D", "http://c/1", "2026-03-04 05:06:07", "W", "<p>D</p>")
+    pages = feeds.read_pages(spark, f"{folder}/json", "src", NOW).orderBy("link").collect()
+    assert [tuple(r) for r in pages] == [("J", "http://d/1", NOW, "M", "<p>J</p>"), ("K & L", "http://d/2", "2026-01-01 08:00:00", "src", "<p>a &lt;b&gt; c</p>"), ("M <x>", "http://d/3", "1970-01-02 08:00:00", "src", "<p>M &lt;x&gt;</p>")]
 
 
 def test_written_feeds_are_read_again(spark, folder):
     items = spark.createDataFrame([(f"t & <{k}>", f"http://e/{k}", "d") for k in range(7)], "title string, link string, description string").coalesce(1)
-    feeds.write_rss(items, f"{folder}/out", per_file=3)
+    feeds.write_rss(items, f"{folder}/out", per_file=3, head={"title": "News", "link": "http://e/"})
     back = feeds.read_items(spark, f"{folder}/out")
     assert sorted(r["title"] for r in back.collect()) == sorted(f"t & <{k}>" for k in range(7)) and back.select("file").distinct().count() == 3
+    for f in (folder / "out").glob("part-*"):
+        root = ElementTree.parse(f).getroot()
+        assert root.tag == "rss" and root.find("channel/title").text == "News" and len(root.findall("channel/item/link")) in (1, 3)
 
 
 def test_config_and_vocabulary():
