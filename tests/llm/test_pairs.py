@@ -124,6 +124,34 @@ def test_masks_cover():
         assert any(not set(m) & set(differ) for m in neardup.MASKS)
 
 
+def test_few_pairs_of_a_large_group_meet():
+    """Rows whose symbols agree by chance in one of 25 places; a few pairs agree in one more than twice the number of blocks."""
+    rng = np.random.default_rng(8)
+    sketch = rng.integers(0, 25, (4000, 48), dtype=np.uint16)
+    for k in range(0, 100, 2):
+        same = rng.permutation(48)[:17]
+        sketch[k, same] = sketch[k + 1, same]
+    unit, lead, bits = np.zeros(4000, np.int64), np.full(4000, 3, np.int8), rng.integers(0, 1 << 63, (8, 4000), dtype=np.uint64)
+    met = {tuple(sorted(p)) for a, b in neardup._meeting(unit, lead, sketch, bits, 512, 2000) for p in zip(a.tolist(), b.tolist(), strict=True)}
+    assert {(k, k + 1) for k in range(0, 100, 2)} <= met and len(met) < 0.02 * 4000 * 3999 / 2
+    small = [p for a, b in neardup._meeting(unit, lead, sketch, bits, 512, 4000) for p in zip(a.tolist(), b.tolist(), strict=True)]
+    assert len(small) == len(set(small)) == 4000 * 3999 // 2
+
+
+def test_covering_of_six():
+    for differ in combinations(range(6), 3):
+        assert any(not set(m) & set(differ) for m in neardup.MASKS)
+
+
+@pytest.mark.parametrize("hot", [2000, 20])
+def test_parts_of_a_large_group_meet(spark, hot):
+    rng = random.Random(19)
+    told = story(rng, 90)
+    rows = [(k, None, " ".join(f"edit{k}x{j}" if j in range(k % 7, 90, 17) else x for j, x in enumerate(told))) for k in range(150)]
+    _, links = neardup.near_duplicates(spark.createDataFrame(rows, "id long, title string, content string"), hot=hot, part=40)
+    assert [tuple(r) for r in links.select("id_a", "id_b").orderBy("id_a", "id_b").collect()] == list(combinations(range(150), 2))
+
+
 def test_components(spark):
     rng, edges = random.Random(2), []
     edges = [(k, k + 1) for k in range(0, 30)] + [(100, 101), (102, 101), (7, 7), (None, 3), (200, 100)] + [(rng.randrange(300, 340), rng.randrange(300, 340)) for _ in range(60)]
