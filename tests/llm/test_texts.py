@@ -114,6 +114,23 @@ def test_cut_versions_of_a_story_in_a_third_of_the_rows(spark):
     assert cut <= wanted and len(cut) >= 0.9 * len(wanted) and 500 in cut
 
 
+def test_pairs_of_a_notice_in_many_texts(spark):
+    """Texts that share a notice at the end are no pairs by it alone, but those whose words before it agree too, edits aside, and short ones."""
+    from pyspark.sql import functions as F
+
+    rng = random.Random(12)
+    own = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    notice = [f"n{k}" for k in range(60)]
+    rows = [(k, own(230) + notice[:50]) for k in range(60)] + [(100 + k, own(230) + notice) for k in range(60)]
+    rows += [(200 + k, [x if rng.random() > 0.03 else f"e{j}" for j, x in enumerate(dict(rows)[k][:230])] + notice) for k in range(0, 60, 3)] + [(300, own(5) + notice[:30])]
+    texts = spark.createDataFrame([(k, " ".join(w)) for k, w in rows], "rec_id long, text string")
+    ends = truncation._ends(texts).withColumn("open", F.lit(None).cast("boolean"))
+    fits = (F.col("m") >= 0.8 * F.col("n")) & (F.col("rec_id") != F.col("copy_id"))
+    pairs = {tuple(r) for r in truncation._pairs(ends, truncation._places(texts, ends), texts, fits, 50).collect()}
+    assert {(k, 200 + k) for k in range(0, 60, 3)} <= pairs and {(300, 100 + k) for k in range(60)} <= pairs
+    assert sum(a < 100 for a, _ in pairs) < 60 * 80 / 5  # without the words before: 60 * 80
+
+
 def test_place_keys_and_matches():
     rng = random.Random(2)
     import numpy as np
