@@ -60,6 +60,17 @@ def test_template_classes(spark):
     assert [(r["tokens"], r["pages"]) for r in classes] == [(["<div>", "</div>"], 4)]
 
 
+def test_template_classes_in_one_order_and_nested(spark):
+    """<i> and <b> change places on one page; a list stands in one slot of a table; a span ends outside the table that it begins in."""
+    flip = [(str(k), "flip", "<i>x<b>y" if k else "<b>y<i>x") for k in range(5)]
+    nest = [(f"n{k}", "nest", "<table><tr>" + "<ul>" + "<li>x" * (k + 1) + "</ul>" + "</tr></table>") for k in range(5)]
+    cross = [(f"c{k}", "cross", "<table>a<span>b</table>c</span>") for k in range(4)] + [("c9", "cross", "<table>a</table>")]
+    df = spark.createDataFrame(flip + nest + cross, "rec_id string, host string, text string")
+    got = {(r["host"], tuple(r["tokens"])): r["within"] for r in markup.template_classes(df).collect()}
+    outer = ["<table>", "<tr>", "<ul>", "</ul>", "</tr>", "</table>"]
+    assert got == {("nest", tuple(outer)): None, ("nest", ("<li>",)): outer, ("cross", ("<table>", "</table>")): None}
+
+
 WHOLE = "The mayor opened the library on Monday. Officials in the town praised the plan. Visitors came from afar to see it."
 
 
