@@ -211,6 +211,17 @@ def test_clusters_of_nothing(spark):
     assert mixture.mixture_clusters(empty).count() == 0
 
 
+def test_p4_found_searches_no_fewer_cells_than_the_operator(spark, monkeypatch):
+    import inspect
+
+    from lexivane.llm import queries
+
+    usual, asked, whole = {k: p.default for k, p in inspect.signature(multi_index.most_similar).parameters.items()}, [], multi_index.most_similar
+    monkeypatch.setattr(multi_index, "most_similar", lambda *args, **limits: asked.append(limits) or whole(*args, **limits))
+    assert queries.p4_found(spark, "/root/testdata/sf0.001").count() > 0
+    assert len(asked) == 2 and all(x.get(k, usual[k]) >= usual[k] for x in asked for k in ("nearest", "most_cells", "enough", "reach"))
+
+
 @pytest.mark.parametrize("block", [4096, 16])
 def test_most_similar_like_brute_force(spark, points, block):
     ids, x = usable(points)
