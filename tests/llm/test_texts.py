@@ -161,6 +161,35 @@ def test_ends_early(text, copy, wanted):
     assert truncation.ends_early(text, copy) == wanted
 
 
+def test_words_before_a_place_are_hashed_once_for_all_sizes(monkeypatch):
+    """p5_found, CPU seconds: the min-hashes of smaller windows come from the runs of the largest, and are those of each window by itself."""
+    import numpy as np
+
+    flat = np.random.default_rng(2).integers(0, 1 << 63, 250, dtype=np.uint64)
+    calls, plain = [], truncation.shingles
+    monkeypatch.setattr(truncation, "shingles", lambda *a: calls.append(a) or plain(*a))
+    mul, add = truncation._FURTHER_SEEDS
+    for sizes in ([192, 96, 48, 24], [48, 24], [24]):
+        calls.clear()
+        got = truncation._earlier_least(flat, sizes)
+        assert len(calls) == 1 and len(got) == len(sizes)
+        for w, least in zip(sizes, got, strict=True):
+            assert (least == ((plain(flat[-w:], truncation.WIDTH) * mul + add) >> np.uint64(32)).min(2)).all()
+
+
+@pytest.mark.parametrize("text", ["a b ab, a  ab b", "中文 ab文ab 3.5 (a_b) ", "aa aaa a aaaa aa a.", "İi̇ σς Σ-x\u0301 1２ x", "ab" * 5 + " ab b a"])
+def test_places_of_words_without_their_spans(text):
+    lower = text.lower()
+    spans = [m.span() for m in truncation.WORD.finditer(lower)]
+    found = truncation.WORD.findall(lower)
+    assert [truncation._end_of(lower, found, e) for e in range(len(found))] == [y for _, y in spans]
+
+
+@pytest.mark.parametrize(("line", "note"), [("（来源）\r", True), (" (Reuters) ", True), ("He left (at last)", False), ("()", False), ("", False), ("(a) (b)", False), ("（x）)", False)])
+def test_notes(line, note):
+    assert truncation._is_note(line) == note == (bool(line) and not truncation._NOTE.sub("", line).strip())
+
+
 def test_tokens(spark):
     import os
 
